@@ -20,7 +20,7 @@ RECOVERY = (
     r"|ADJCHG[^\n]*\bto\s+FULL\b"
     r"|%SYS-\d+-RESTART"
 )
-RFC3164 = r"(?sU)^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.*)$"
+RFC3164_HEAD = r"(?U)^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+"
 DOTTED_QUAD = r"(?U)^\d{1,3}(?:\.\d{1,3}){3}$"
 ORIGIN_ID = r"(?U)^\d+:\s+(\S+?):\s+"
 FALLBACK_FACILITY = 1
@@ -30,11 +30,15 @@ DEFAULT_DOMAIN = "default"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Drop Unicode blanks at both ends; only text with a blank there is rewritten."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    trimmed = F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.when(ends.rlike(rf"(?U){_BLANK}"), trimmed).otherwise(text)
 
 
 def _lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+", "")
+    trimmed = F.regexp_replace(text, rf"(?U)^{_BLANK}+", "")
+    return F.when(F.substring(text, 1, 1).rlike(rf"(?U){_BLANK}"), trimmed).otherwise(text)
 
 
 def _or_null(text: Column) -> Column:
@@ -61,7 +65,10 @@ def event_parts(event: Column) -> Column:
 
 
 def is_recovery(message: Column) -> Column:
-    return message.rlike(RECOVERY)
+    """Recovery wording; the costly pattern only runs where one of its parts occurs."""
+    lower = F.lower(message)
+    hint = lower.contains("changed") | lower.contains("adjch") | lower.contains("tart")
+    return hint & message.rlike(RECOVERY)
 
 
 def is_routing_event(message: Column) -> Column:
@@ -72,11 +79,11 @@ def is_routing_event(message: Column) -> Column:
     return found
 
 
-def _priority(text: Column) -> Column:
+def _priority(body: Column) -> Column:
     """Integer between the angle brackets; blanks, sign and single underscores allowed."""
-    body = F.regexp_extract(text, r"(?s)^<([^>]+)>", 1)
     number = F.regexp_extract(body, rf"(?U)^{_BLANK}*([+-]?\d+(?:_\d+)*){_BLANK}*$", 1)
-    return F.replace(number, F.lit("_"), F.lit("")).try_cast("bigint")
+    loose = F.replace(number, F.lit("_"), F.lit("")).try_cast("bigint")
+    return F.when(body.rlike("^[0-9]{1,9}$"), body.try_cast("bigint")).otherwise(loose)
 
 
 def _origin_host(host: Column, message: Column) -> Column:
@@ -85,8 +92,8 @@ def _origin_host(host: Column, message: Column) -> Column:
     return F.when(host.rlike(DOTTED_QUAD), F.coalesce(name, host)).otherwise(host)
 
 
-def _header_time(stamp: Column, year: Column, tz: str) -> Column:
-    text = F.concat_ws(" ", year.cast("string"), F.regexp_replace(stamp, r"(?U)\s+", " "))
+def _header_time(words: Column, year: Column, tz: str) -> Column:
+    text = F.concat_ws(" ", year.cast("string"), F.slice(words, 1, 3))
     local = F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss"))
     return local if tz == "UTC" else F.to_utc_timestamp(local, tz)
 
@@ -108,20 +115,30 @@ def parse_syslog(
     stage = lines.select(
         domain.alias("domain"), "seq", "received_at", "source_ip", strip(F.col("raw")).alias("_text")
     )
-    stage = stage.withColumn("_pri", _priority(F.col("_text")))
+    text, close = F.col("_text"), F.locate(">", F.col("_text"))
+    bracketed = text.startswith("<") & (close >= 3)
     stage = stage.withColumn(
-        "_rest",
-        F.when(F.col("_pri").isNotNull(), F.regexp_extract("_text", r"(?s)^<[^>]+>(.*)$", 1)),
+        "_pri", F.when(bracketed, _priority(F.substring(text, F.lit(2), close - 2)))
     )
-    stage = stage.withColumn("_parts", F.split(_lstrip(F.col("_rest")), rf"(?U){_BLANK}+", 8))
-    parts = F.col("_parts")
-    is5424 = F.coalesce((F.size(parts) >= 6) & parts[0].rlike(r"(?U)^\d+$"), F.lit(False))
-
-    stamp3164 = F.regexp_extract("_rest", RFC3164, 1)
-    is3164 = F.coalesce(stamp3164 != "", F.lit(False))
+    rest = F.col("_rest")
+    stage = stage.withColumn(
+        "_rest", F.when(F.col("_pri").isNotNull(), F.substring(text, close + 1, F.length(text)))
+    )
+    # A version number comes first in RFC 5424; only such lines are split into fields.
+    stage = stage.withColumn(
+        "_parts",
+        F.when(
+            rest.rlike(rf"(?U)^{_BLANK}*\d+{_BLANK}"),
+            F.split(_lstrip(rest), rf"(?U){_BLANK}+", 8),
+        ),
+    ).withColumn("_head", F.regexp_extract(rest, RFC3164_HEAD, 0))
+    parts, head = F.col("_parts"), F.col("_head")
+    is5424 = F.coalesce(F.size(parts) >= 6, F.lit(False))
+    is3164 = F.coalesce(head != "", F.lit(False))
+    words = F.split(head, r"(?U)\s+")
     body5424 = F.when(F.size(parts) >= 8, strip(F.get(parts, F.lit(7)))).otherwise("")
     if strict_sd:
-        tail = F.regexp_extract("_rest", r"(?sU)^\s*(?:\S+\s+){6}(.*)$", 1)
+        tail = F.regexp_extract(rest, r"(?sU)^\s*(?:\S+\s+){6}(.*)$", 1)
         after_sd = F.regexp_extract(
             tail, r'(?sU)^(?:-|(?:\[(?:[^\]"\\]|\\.|"(?:[^"\\]|\\.)*")*\])+)(?:\s+(.*))?$', 1
         )
@@ -143,9 +160,9 @@ def parse_syslog(
             is3164,
             F.struct(
                 F.lit("rfc3164").alias("format"),
-                F.regexp_extract("_rest", RFC3164, 2).alias("host"),
-                strip(F.regexp_extract("_rest", RFC3164, 3)).alias("message"),
-                _header_time(stamp3164, header_year, tz).alias("event_ts"),
+                words[3].alias("host"),
+                strip(F.substring(rest, F.length(head) + 1, F.length(rest))).alias("message"),
+                _header_time(words, header_year, tz).alias("event_ts"),
             ),
         )
         .otherwise(

@@ -1,8 +1,8 @@
 """Reachability over the device graph.
 
-Every closure grows by joining the newest pairs with the edges, dropping pairs seen
-before, and storing each round in the shared folder. It stops on cycles because only
-new pairs go on.
+A closure doubles the path length it covers in each round: the newest pairs are joined
+with all pairs so far, pairs seen before are dropped, and each round is stored in the
+shared folder. It stops on cycles because only new pairs go on.
 """
 from __future__ import annotations
 
@@ -21,29 +21,26 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def ancestors(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """All pairs ``(node, ancestor)`` over the given edges, without a node's own pair.
 
-    ``nodes`` (column ``id``) limits the start points.
+    ``nodes`` (column ``id``) limits the rows to these nodes.
     """
-    steps = edges.select(F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct()
-    up = materialize(steps, "steps")
-    frontier = up
-    if nodes is not None:
-        frontier = up.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    frontier = frontier.filter(F.col("node") != F.col("ancestor"))
-    seen = [materialize(frontier, "closure")]
-    frontier = seen[0]
-    hop = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
+    steps = edges.select(F.col("dst").alias("node"), F.col("src").alias("ancestor"))
+    frontier = materialize(steps.filter(F.col("node") != F.col("ancestor")).distinct(), "closure")
+    seen = [frontier]
     while not is_empty(frontier):
+        known = _union(seen)
+        onward = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
         reached = (
-            frontier.join(hop, "ancestor")
+            frontier.join(onward, "ancestor")
             .select("node", F.col("next").alias("ancestor"))
             .filter(F.col("node") != F.col("ancestor"))
             .distinct()
         )
-        frontier = materialize(
-            reached.join(_union(seen), ["node", "ancestor"], "left_anti"), "closure"
-        )
+        frontier = materialize(reached.join(known, ["node", "ancestor"], "left_anti"), "closure")
         seen.append(frontier)
-    return _union(seen)
+    pairs = _union(seen)
+    if nodes is None:
+        return pairs
+    return pairs.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
 
 
 def descendants(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -121,15 +121,14 @@ def _silent_owners(hosts: DataFrame, marked: DataFrame, candidates: DataFrame) -
     again; candidates before it are not affected.
     """
     free = hosts.filter("flap is null").select(*HOST)
-    claims = materialize(
+    claims = (
         marked.join(candidates.select(*WINDOW, "ancestor", "rank"), [*WINDOW, "ancestor"])
         .join(free, HOST, "left_semi")
-        .select(*HOST, F.struct("rank", F.col("ancestor").alias("root")).alias("claim")),
-        "claims",
+        .select(*HOST, F.struct("rank", F.col("ancestor").alias("root")).alias("claim"))
     )
     settled: list[DataFrame] = []
     while True:
-        owners = claims.groupBy(*HOST).agg(F.min("claim").alias("claim"))
+        owners = materialize(claims.groupBy(*HOST).agg(F.min("claim").alias("claim")), "owners")
         takes = owners.groupBy(*WINDOW, "claim").agg(F.count("*").alias("n"))
         lonely = materialize(
             takes.filter("n = 1").groupBy(*WINDOW).agg(F.min("claim").alias("skip")), "lonely"
@@ -165,9 +164,7 @@ def assign_hosts(
     silent = _silent_owners(hosts, marked, candidates)
 
     below = marked.filter("evident").select(*HOST).distinct().withColumn("has_upstream", F.lit(True))
-    staged = materialize(
-        hosts.join(silent, HOST, "left").join(below, HOST, "left"), "staged"
-    )
+    staged = hosts.join(silent, HOST, "left").join(below, HOST, "left")
     is_free = F.col("flap").isNull() & F.col("silent_root").isNull()
     is_root = is_free & F.col("has_upstream").isNull()
     roots = staged.filter(is_root).select(

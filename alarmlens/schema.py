@@ -1,27 +1,20 @@
-"""Schemas of the tables the jobs exchange."""
+"""Schemas of the tables the jobs exchange, as DDL text."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
+RAW_LINES = "raw STRING, source_ip STRING, received_at TIMESTAMP, seq BIGINT"
 
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RAW_LINES = _struct("raw STRING, source_ip STRING, received_at TIMESTAMP, seq BIGINT")
-
-PAYLOADS = _struct(
+PAYLOADS = (
     "payload_id STRING, received_at TIMESTAMP,"
     " messages ARRAY<STRUCT<source_ip: STRING, raw: STRING>>"
 )
 
-MESSAGES = _struct(
+MESSAGES = (
     "domain STRING, seq BIGINT, received_at TIMESTAMP, event_ts TIMESTAMP, source_ip STRING,"
     " hostname STRING, facility INT, severity INT, message STRING, event_type STRING,"
     " is_recovery BOOLEAN, format STRING"
 )
 
-TOPOLOGY_DOC = _struct(
+TOPOLOGY_DOC = (
     "`network-model` STRUCT<"
     "`physical-layer`: STRUCT<"
     "device: ARRAY<STRUCT<`device-id`: STRING, `device-name`: STRING, `device-type`: STRING,"
@@ -33,22 +26,22 @@ TOPOLOGY_DOC = _struct(
     " endpoint: ARRAY<STRUCT<`device-id`: STRING>>>>>>"
 )
 
-SUPPORTING_NODE_DOC = _struct(
+SUPPORTING_NODE_DOC = (
     "`ietf-network:networks` STRUCT<network: ARRAY<STRUCT<node: ARRAY<STRUCT<"
     "`node-id`: STRING,"
     " `ietf-network-topology:supporting-node`: ARRAY<STRUCT<`node-ref`: STRING>>>>>>>"
 )
 
-NODES = _struct("id STRING, role STRING, role_priority INT")
-EDGES = _struct("src STRING, dst STRING, edge_type STRING, bgp_type STRING")
-INTERFACES = _struct("device_id STRING, interface_id STRING, ip STRING, description STRING")
-PATTERNS = _struct("pattern STRING")
+NODES = "id STRING, role STRING, role_priority INT"
+EDGES = "src STRING, dst STRING, edge_type STRING, bgp_type STRING"
+INTERFACES = "device_id STRING, interface_id STRING, ip STRING, description STRING"
+PATTERNS = "pattern STRING"
 
-INCIDENTS = _struct(
+INCIDENTS = (
     "incident_id STRING, created_at TIMESTAMP, root_cause_node STRING, primary_event STRING,"
     " secondary_nodes ARRAY<STRING>, raw_log_count BIGINT, raw_logs ARRAY<STRING>,"
     " status STRING, condition STRING, recurrence_count BIGINT,"
     " domain STRING, window_start TIMESTAMP, kind STRING, emit_rank INT"
 )
 
-REPORT_CACHE = _struct("fingerprint STRING, report STRING, created_at TIMESTAMP")
+REPORT_CACHE = "fingerprint STRING, report STRING, created_at TIMESTAMP"
