@@ -67,7 +67,7 @@ def host_stats(messages: DataFrame, rules: Rules = Rules(), *, time_col: str = "
         .agg(
             F.sum("n").alias("n_logs"),
             F.sum("n_active").alias("n_active"),
-            F.min("first_active.ts").alias("first_seen"),
+            F.min("first_active").alias("first_seen"),
             F.min_by("active_message", "first_active").alias("active_message"),
             F.min_by("message", "first").alias("message"),
             F.max("routing").alias("is_routing"),
@@ -276,8 +276,8 @@ def infer(
 ) -> DataFrame:
     """Incidents of all windows at once.
 
-    ``messages`` carry ``window_start`` and ``window_end``. Ties in first-seen time and
-    in coverage are broken by node name. ``raw_logs`` holds the first 200 messages,
+    ``messages`` carry ``window_start`` and ``window_end``. Equal first-seen times are
+    ordered by arrival (``seq``), equal coverage by node name. ``raw_logs`` holds the first 200 messages,
     as stored; ``raw_log_count`` counts all, and ``incident_logs`` lists all.
     """
     evidence = drop_recoveries(messages) if drop_recovery else messages

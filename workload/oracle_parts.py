@@ -180,6 +180,7 @@ known AS (SELECT * FROM ev WHERE hostname IN (SELECT id FROM nodes)),
 act AS (
   SELECT domain, w, hostname AS host, max(wend) AS wend, count(*) AS n_logs,
          count(*) FILTER (severity <= 5) AS n_active, min(us) FILTER (severity <= 5) AS first_seen,
+         first(seq ORDER BY us, seq) FILTER (severity <= 5) AS first_seq,
          first(message ORDER BY us, seq) FILTER (severity <= 5) AS amsg,
          first(message ORDER BY us, seq) AS msg,
          bool_or(severity <= 5 AND regexp_matches(message, '%BGP-|%OSPF-|%ISIS-|%EIGRP-|%RIP-')) AS routing
@@ -252,7 +253,7 @@ status AS (
   FROM act a LEFT JOIN flaps f USING (domain, w, host) LEFT JOIN silent s USING (domain, w, host)
 ),
 owners AS (
-  SELECT v.domain, v.w, v.host, first(r.host ORDER BY r.first_seen, r.host) AS owner
+  SELECT v.domain, v.w, v.host, first(r.host ORDER BY r.first_seen, r.first_seq) AS owner
   FROM above v JOIN status r ON r.domain = v.domain AND r.w = v.w AND r.host = v.anc AND r.free AND r.top
   GROUP BY ALL
 ),
@@ -268,7 +269,7 @@ folded AS (
          list_sort(coalesce(list(host) FILTER (host <> root), [])) AS secondary,
          max(CASE WHEN kind_no = 4 THEN msg ELSE amsg END) FILTER (host = root) AS root_msg,
          max(flap) AS flap, max(times) AS times, min(silent_rank) AS silent_rank,
-         min(first_seen) FILTER (host = root) AS root_seen
+         min(first_seen) FILTER (host = root) AS root_seen, min(first_seq) FILTER (host = root) AS root_seq
   FROM members GROUP BY ALL
 ),
 inc AS (
@@ -279,7 +280,8 @@ inc AS (
                  WHEN 2 THEN '(inferred — node did not send SYSLOG)' ELSE root_msg END AS primary_event,
     'OPEN' AS status, CASE kind_no WHEN 1 THEN 'FLAPPING' ELSE 'ACTIVE' END AS condition,
     row_number() OVER (PARTITION BY domain, w ORDER BY kind_no, silent_rank,
-                       CASE WHEN kind_no = 3 THEN root_seen END, root) AS emit_rank
+                       CASE WHEN kind_no = 3 THEN root_seen END, CASE WHEN kind_no = 3 THEN root_seq END,
+                       root) AS emit_rank
   FROM folded
 )"""
 

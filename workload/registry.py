@@ -543,7 +543,7 @@ def active_hosts(spark, d):
     hosts = INF.host_stats(FL.known_hosts(evidence(spark, d), topology(spark, d).nodes), RULES)
     return hosts.select(
         us("window_start").alias("window_us"), "hostname", "n_logs", "n_active",
-        us("first_seen").alias("first_us"), "active_message", "message", "is_routing",
+        us("first_seen.ts").alias("first_us"), "active_message", "message", "is_routing",
     )
 
 
@@ -584,7 +584,7 @@ def root_candidates(spark, d):
     rules = INF.Rules(flapping_threshold=0, silent_coverage=1e9)
     got = INF.assign_hosts(evidence(spark, d), topology(spark, d), rules, physical=physical(spark, d))
     roots = got.filter("kind_no = 3 and hostname = root_cause_node")
-    return roots.select(us("window_start").alias("window_us"), "hostname", us("first_seen").alias("first_us"))
+    return roots.select(us("window_start").alias("window_us"), "hostname", us("first_seen.ts").alias("first_us"))
 
 
 @register(
@@ -627,7 +627,8 @@ def full_incidents(spark, d):
 
 PAYLOAD_WINDOWS = """
 wm AS (
-  SELECT * REPLACE (CAST(seq // 20 AS VARCHAR) AS domain), min(us) OVER (PARTITION BY seq // 20) AS w,
+  SELECT * REPLACE (CAST(seq // 20 AS VARCHAR) AS domain, min(us) OVER (PARTITION BY seq // 20) AS us),
+         min(us) OVER (PARTITION BY seq // 20) AS w,
          min(us) OVER (PARTITION BY seq // 20) AS wend FROM msgs
 )"""
 
