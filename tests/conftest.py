@@ -14,11 +14,9 @@ def spark():
         "alarmlens-tests",
         "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            "spark.sql.streaming.stateStore.providerClass":
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

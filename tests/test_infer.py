@@ -56,65 +56,71 @@ def test_scenarios_on_two_trees(spark, poc):
     assert got["09"][0].raw_logs == ["low detail", LINK] and got["09"][0].primary_event == LINK
 
 
-def test_silent_root(spark):
-    got = run(spark, star(spark, 3), [(f"Leaf{i}", BGP) for i in (1, 2, 3)])
-    assert [(x.root_cause_node, x.kind, x.secondary_nodes) for x in got] == [
-        ("Spine1", "silent", ["Leaf1", "Leaf2", "Leaf3"])
-    ]
-    assert got[0].primary_event.startswith("(inferred") and got[0].raw_log_count == 3
-    got = run(spark, star(spark, 1), [("Leaf1", BGP)])
-    assert [(x.root_cause_node, x.kind) for x in got] == [("Leaf1", "regular")]
-    got = run(spark, star(spark, 2, ("Standalone",)), [("Leaf1", BGP), ("Leaf2", BGP), ("Standalone", LINK)])
-    assert [(x.root_cause_node, x.kind) for x in got] == [("Spine1", "silent"), ("Standalone", "regular")]
-    got = run(spark, star(spark, 3), [("Spine1", LINK)] + [(f"Leaf{i}", BGP) for i in (1, 2, 3)])
-    assert [(x.root_cause_node, x.primary_event) for x in got] == [("Spine1", LINK)]
-
-
-def test_flapping(spark):
-    down, up = LINK, LINK.replace("down", "up")
-    got = run(spark, star(spark, 1), [("Leaf1", down), ("Leaf1", up), ("Leaf1", down)], drop_recovery=False)
-    assert len(got) == 1 and got[0].condition == "FLAPPING" and got[0].status == "OPEN"
-    assert got[0].primary_event == "FLAPPING: %LINK-3-UPDOWN repeated 3x in window"
-    got = run(spark, star(spark, 1), [("Leaf1", down), ("Leaf1", up), ("Leaf1", down)])
-    assert [x.condition for x in got] == ["ACTIVE"] and got[0].raw_log_count == 2
-    pair = topology(spark, {"Router1": "core", "Switch1": "access"}, [("Router1", "Switch1")])
-    got = run(spark, pair, [("Router1", BGP)] + [("Switch1", LINK)] * 3)
-    assert [(x.root_cause_node, x.condition, x.secondary_nodes) for x in got] == [
-        ("Switch1", "FLAPPING", []), ("Router1", "ACTIVE", []),
-    ]
-    got = run(spark, pair, [("Router1", LINK)] * 3 + [("Switch1", BGP)])
-    assert [(x.root_cause_node, x.kind) for x in got] == [("Router1", "flapping"), ("Switch1", "independent")]
-    got = run(spark, pair, [("Router1", LINK)] * 3, rules=Rules(flapping_threshold=0))
-    assert [x.kind for x in got] == ["regular"]
-
-
-def test_routing_sessions(spark):
+def test_scenarios_on_small_graphs(spark):
+    """Disjoint graphs side by side in one topology; every scenario is a domain."""
+    leaf, up = "leaf", LINK.replace("down", "up")
     topo = topology(
         spark,
-        {"Spine1": "spine", "Leaf1": "leaf", "Leaf2": "leaf"},
-        [("Spine1", "Leaf1"), ("Leaf1", "Leaf2", "bgp")],
+        {
+            **{n: "spine" for n in ("S3", "S1", "S2", "BS", "C1", "C2")},
+            **dict.fromkeys(["S3a", "S3b", "S3c", "S1a", "S2a", "S2b", "Alone", "BL1", "BL2"], leaf),
+            **dict.fromkeys(["C1a", "C1b", "C1c", "RA", "RB", "RC"], leaf),
+            "Router1": "core",
+            "Switch1": "access",
+        },
+        [
+            ("S3", "S3a"), ("S3", "S3b"), ("S3", "S3c"), ("S1", "S1a"), ("S2", "S2a"), ("S2", "S2b"),
+            ("Router1", "Switch1"), ("BS", "BL1"), ("BL1", "BL2", "bgp"),
+            *[(c, f"C1{x}") for c in ("C1", "C2") for x in "abc"],
+            ("RA", "RB"), ("RB", "RC"), ("RC", "RA"),
+        ],
     )
-    got = run(spark, topo, [("Leaf1", BGP), ("Leaf2", BGP)])
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got] == [("Leaf1", ["Leaf2"])]
-    got = run(spark, topo, [("Leaf1", BGP), ("Leaf2", CONF)])
-    assert [x.root_cause_node for x in got] == ["Leaf1", "Leaf2"]
-    got = run(spark, topo, [("Spine1", LINK), ("Leaf1", BGP), ("Leaf2", BGP)])
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got] == [("Spine1", ["Leaf1", "Leaf2"])]
-
-
-def test_ring_and_shared_leaves(spark):
-    ring = topology(spark, dict.fromkeys("ABC", "leaf"), [("A", "B"), ("B", "C"), ("C", "A")])
-    got = run(spark, ring, [("C", LINK), ("A", LINK), ("B", LINK)])
-    assert [(x.root_cause_node, x.kind) for x in got] == [(n, "independent") for n in "ABC"]
-    clos = topology(
-        spark,
-        {"Spine1": "spine", "Spine2": "spine", "Leaf1": "leaf", "Leaf2": "leaf", "Leaf3": "leaf"},
-        [(s, f"Leaf{i}") for s in ("Spine1", "Spine2") for i in (1, 2, 3)],
-    )
-    got = run(spark, clos, [("Spine1", LINK), ("Leaf1", LINK), ("Spine2", LINK), ("Leaf2", LINK)])
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got] == [
-        ("Spine1", ["Leaf1", "Leaf2"]), ("Spine2", []),
-    ]
+    cases = {
+        "silent": [("S3a", BGP), ("S3b", BGP), ("S3c", BGP)],
+        "single": [("S1a", BGP)],
+        "mixed": [("S2a", BGP), ("S2b", BGP), ("Alone", LINK)],
+        "loud": [("S3", LINK), ("S3a", BGP), ("S3b", BGP), ("S3c", BGP)],
+        "flap3": [("S1a", LINK), ("S1a", up), ("S1a", LINK)],
+        "flap2": [("S1a", LINK), ("S1a", up)],
+        "leafflap": [("Router1", BGP)] + [("Switch1", LINK)] * 3,
+        "rootflap": [("Router1", LINK)] * 3 + [("Switch1", BGP)],
+        "bgp": [("BL1", BGP), ("BL2", BGP)],
+        "nobgp": [("BL1", BGP), ("BL2", CONF)],
+        "chain": [("BS", LINK), ("BL1", BGP), ("BL2", BGP)],
+        "ring": [("RC", LINK), ("RA", LINK), ("RB", LINK)],
+        "shared": [("C1", LINK), ("C1a", LINK), ("C2", LINK), ("C1b", LINK)],
+    }
+    rows = [(*r, 3, i, d) for d, rs in cases.items() for i, r in enumerate(rs)]
+    got = {}
+    for x in run(spark, topo, rows, drop_recovery=False):
+        got.setdefault(x.domain, []).append(x)
+    brief = {d: [(x.root_cause_node, x.kind, x.secondary_nodes) for x in xs] for d, xs in got.items()}
+    assert brief == {
+        "silent": [("S3", "silent", ["S3a", "S3b", "S3c"])],
+        "single": [("S1a", "regular", [])],
+        "mixed": [("S2", "silent", ["S2a", "S2b"]), ("Alone", "regular", [])],
+        "loud": [("S3", "regular", ["S3a", "S3b", "S3c"])],
+        "flap3": [("S1a", "flapping", [])],
+        "flap2": [("S1a", "regular", [])],
+        "leafflap": [("Switch1", "flapping", []), ("Router1", "regular", [])],
+        "rootflap": [("Router1", "flapping", []), ("Switch1", "independent", [])],
+        "bgp": [("BL1", "regular", ["BL2"])],
+        "nobgp": [("BL1", "regular", []), ("BL2", "regular", [])],
+        "chain": [("BS", "regular", ["BL1", "BL2"])],
+        "ring": [(n, "independent", []) for n in ("RA", "RB", "RC")],
+        "shared": [("C1", "regular", ["C1a", "C1b"]), ("C2", "regular", [])],
+    }
+    assert got["silent"][0].primary_event.startswith("(inferred") and got["silent"][0].raw_log_count == 3
+    assert got["loud"][0].primary_event == LINK
+    flap = got["flap3"][0]
+    assert (flap.condition, flap.status) == ("FLAPPING", "OPEN")
+    assert flap.primary_event == "FLAPPING: %LINK-3-UPDOWN repeated 3x in window"
+    live = {
+        x.domain: x
+        for x in run(spark, topo, [r for r in rows if r[4] in ("flap3", "leafflap")], rules=Rules(flapping_threshold=0))
+    }
+    assert live["flap3"].condition == "ACTIVE" and live["flap3"].raw_log_count == 2
+    assert live["leafflap"].kind == "regular"
 
 
 def test_simple_variant(spark, poc):

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from alarmlens import schema
 from alarmlens.functions.parse import parse_syslog
 from alarmlens.operators.topology import save_version
-from alarmlens.operators.windows import anchored_windows
-from alarmlens.plans.infer import infer
 from alarmlens.plans.pipeline import run_batch
 from alarmlens.sources.lines import stream_datagrams
 from alarmlens.streaming.live import LiveJob, count_received, session_counts, tumbling_hosts
@@ -53,10 +51,12 @@ def _run(spark, job, tmp_path, batches):
 
 
 def test_stream_equals_batch_and_survives_replay(spark, job, tmp_path):
-    last = _run(spark, job, tmp_path, [ROWS[:3], ROWS[3:5], ROWS[5:]])
+    late = _line("Dist-Switch1", DOWN, 12, 99)
+    last = _run(spark, job, tmp_path, [ROWS[:5], [late, *ROWS[5:]]])
     # The same micro-batch again, as after a failure.
     lines = spark.createDataFrame(
-        [(r["raw"], r["source_ip"], at(s), r["seq"]) for r, s in zip(ROWS[5:], (61, 70, 95, 110))], schema.RAW_LINES
+        [(r["raw"], r["source_ip"], at(s), r["seq"]) for r, s in zip([late, *ROWS[5:]], (12, 61, 70, 95, 110))],
+        schema.RAW_LINES,
     )
     job.process(lines, last)
     job.drain(last)
@@ -71,19 +71,11 @@ def test_stream_equals_batch_and_survives_replay(spark, job, tmp_path):
     b = [r.asDict() for r in expected.select(KEEP).orderBy(order).collect()]
     assert a == b
     assert [r["condition"] for r in b] == ["RECOVERED", "RECOVERED", "ACTIVE", "ACTIVE", "ACTIVE"][: len(b)]
+    assert [r.seq for r in job.late_rows().collect()] == [99]
     feed = job.feed()
     assert {r.type for r in feed.select("type").distinct().collect()} == {"incident.new", "incident.recovered"}
 
 
-def test_late_rows_go_to_the_side_table(spark, job, tmp_path):
-    late = _line("Dist-Switch1", DOWN, 12, 99)
-    _run(spark, job, tmp_path, [ROWS[:5], [late], ROWS[5:]])
-    rows = job.late_rows().collect()
-    assert [r.seq for r in rows] == [99]
-    first = spark.read.parquet(job.table_path).orderBy("window_start").first()
-    assert first.raw_log_count == 3
-
-
 def test_native_stream_windows(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -98,14 +90,3 @@ def test_native_stream_windows(spark, tmp_path):
         (at(0).replace(tzinfo=None), 2), (at(61).replace(tzinfo=None), 2)
     ]
     assert spark.table("tumb").agg(F.sum("n").alias("n")).first().n == 4
-
-
-def test_windows_of_stream_rows_equal_batch(spark, job, tmp_path):
-    last = _run(spark, job, tmp_path, [ROWS[:2], ROWS[2:4], ROWS[4:6], ROWS[6:]])
-    job.drain(last)
-    rows = [(r["raw"], r["source_ip"], at(s), r["seq"])
-            for r, s in zip(ROWS, (0, 4, 30, 31, 45, 61, 70, 95, 110))]
-    messages = parse_syslog(spark.createDataFrame(rows, schema.RAW_LINES))
-    expected = infer(anchored_windows(messages), job._topology()[0], logs=False)
-    pick = lambda df: sorted((str(r.window_start), r.root_cause_node) for r in df.collect())
-    assert pick(spark.read.parquet(job.table_path)) == pick(expected)
