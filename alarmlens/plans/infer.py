@@ -130,13 +130,11 @@ def _silent_owners(hosts: DataFrame, marked: DataFrame, candidates: DataFrame) -
     while True:
         owners = materialize(claims.groupBy(*HOST).agg(F.min("claim").alias("claim")), "owners")
         takes = owners.groupBy(*WINDOW, "claim").agg(F.count("*").alias("n"))
-        lonely = materialize(
-            takes.filter("n = 1").groupBy(*WINDOW).agg(F.min("claim").alias("skip")), "lonely"
-        )
-        done = is_empty(lonely)
-        settled.append(owners if done else owners.join(lonely, WINDOW, "left_anti"))
-        if done:
+        lonely = takes.filter("n = 1").groupBy(*WINDOW).agg(F.min("claim").alias("skip"))
+        if is_empty(lonely):
+            settled.append(owners)
             break
+        settled.append(owners.join(lonely, WINDOW, "left_anti"))
         claims = materialize(
             claims.join(lonely, WINDOW).filter(F.col("claim") != F.col("skip")).drop("skip"), "claims"
         )

@@ -18,12 +18,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """The shared file is one row group, hence one task; spread it over the idle cores.
+    """A shared file is one row group, hence one busy task; spread it over the idle cores.
 
-    Inputs with enough splits of their own are left alone.
+    Inputs with at least one file per core are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _message() -> Column:
@@ -39,6 +39,20 @@ def _message() -> Column:
     )
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
+    """The whole log several times over, each copy 31 days after the one before."""
+    lines = raw_lines(spark, sf_dir)
+    total = lines.agg(F.max("seq")).first()[0] + 1
+    each = lines.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return each.select(
+        "raw",
+        "source_ip",
+        (F.col("received_at") + F.make_dt_interval(days=31 * F.col("copy"))).alias("received_at"),
+        (F.col("seq") + total * F.col("copy")).alias("seq"),
+        "domain",
+    )
+
+
 def raw_lines(spark: SparkSession, sf_dir: str, *, sites: int = 0) -> DataFrame:
     """One syslog line per event, in three header forms and without a header.
 
