@@ -14,7 +14,7 @@ from alarmlens.operators.topology import Topology  # noqa: E402
 from alarmlens.operators.windows import anchored_windows, session_windows  # noqa: E402
 from alarmlens.plans.infer import infer  # noqa: E402
 from alarmlens.plans.pipeline import run_batch  # noqa: E402
-from alarmlens.runtime import build_session, materialize  # noqa: E402
+from alarmlens.runtime import build_session, materialize, release  # noqa: E402
 from workload import inputs, registry  # noqa: E402
 
 
@@ -108,6 +108,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

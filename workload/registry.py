@@ -830,7 +830,7 @@ def close_incidents(spark, d):
     "upsert_incidents",
     O.query(
         """SELECT incident_id, CASE WHEN kind = 'regular' THEN 'CLOSED' ELSE status END AS status,
-        CASE WHEN kind = 'regular' THEN len(raw_logs) ELSE len(raw_logs) END AS logs FROM tab""",
+        len(raw_logs) AS logs FROM tab""",
         *TABLE,
     ),
 )
