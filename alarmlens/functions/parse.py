@@ -112,8 +112,9 @@ def parse_syslog(
     the default splits on blanks only. A ``domain`` column of the input is kept.
     """
     domain = F.col("domain") if "domain" in lines.columns else F.lit(DEFAULT_DOMAIN)
+    seq = F.col("seq") if "seq" in lines.columns else F.lit(None).cast("bigint")
     stage = lines.select(
-        domain.alias("domain"), "seq", "received_at", "source_ip", strip(F.col("raw")).alias("_text")
+        domain.alias("domain"), seq.alias("seq"), "received_at", "source_ip", strip(F.col("raw")).alias("_text")
     )
     text, close = F.col("_text"), F.locate(">", F.col("_text"))
     bracketed = text.startswith("<") & (close >= 3)

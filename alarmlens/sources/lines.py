@@ -12,26 +12,34 @@ PAYLOAD_SOURCE = "127.0.0.1"
 
 
 def _as_lines(values: DataFrame, received_at) -> DataFrame:
-    return values.select(
+    return values.filter(strip(F.col("value")) != "").select(
         F.col("value").alias("raw"),
         F.lit(FILE_SOURCE).alias("source_ip"),
         received_at.alias("received_at"),
-        F.monotonically_increasing_id().alias("seq"),
-    ).filter(strip(F.col("raw")) != "")
+    )
+
+
+def with_arrival_order(lines: DataFrame) -> DataFrame:
+    """Add ``seq``, growing with the position in the input, where it is missing."""
+    if "seq" in lines.columns:
+        return lines
+    return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_lines(spark: SparkSession, path: str, *, received_at=None) -> DataFrame:
     """Log file(s) to raw lines; blank lines are dropped.
 
-    ``seq`` grows with the position in a file. ``received_at`` defaults to the time
-    of the run, since a file carries no arrival time.
+    ``received_at`` defaults to the time of the run, since a file carries no arrival time.
     """
     when = F.current_timestamp() if received_at is None else F.lit(received_at).cast("timestamp")
-    return _as_lines(spark.read.text(path), when)
+    return with_arrival_order(_as_lines(spark.read.text(path), when))
 
 
 def stream_lines(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of growing log text as a stream of raw lines."""
+    """A folder of growing log text as a stream of raw lines.
+
+    The arrival time is that of the micro-batch; the live job numbers the lines inside it.
+    """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

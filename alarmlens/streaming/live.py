@@ -26,6 +26,7 @@ from alarmlens.plans.payloads import event_feed
 from alarmlens.plans.pipeline import assign_windows
 from alarmlens.plans.reports import CACHE_TTL_DAYS, cache_purge
 from alarmlens.runtime import is_empty, materialize
+from alarmlens.sources.lines import with_arrival_order
 from alarmlens.sources.patterns import effective_patterns
 
 _END_OF_TIME = "9999-01-01 00:00:00"
@@ -78,7 +79,7 @@ class LiveJob:
 
     def process(self, lines: DataFrame, batch: int) -> None:
         """``foreachBatch`` body: parse, join the pending messages, settle what is complete."""
-        parsed = parse_syslog(lines)
+        parsed = parse_syslog(with_arrival_order(lines))
         patterns = effective_patterns(self.spark, self.patterns_path)
         self.settle(materialize(drop_ignored(parsed, patterns), "batch"), batch)
 

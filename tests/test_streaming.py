@@ -7,7 +7,7 @@ from alarmlens import schema
 from alarmlens.functions.parse import parse_syslog
 from alarmlens.operators.topology import save_version
 from alarmlens.plans.pipeline import run_batch
-from alarmlens.sources.lines import stream_datagrams
+from alarmlens.sources.lines import stream_datagrams, stream_lines, with_arrival_order
 from alarmlens.streaming.live import LiveJob, count_received, session_counts, tumbling_hosts
 from tests.helpers import POC_EDGES, POC_NODES, at, topology
 
@@ -90,3 +90,37 @@ def test_native_stream_windows(spark, tmp_path):
         (at(0).replace(tzinfo=None), 2), (at(61).replace(tzinfo=None), 2)
     ]
     assert spark.table("tumb").agg(F.sum("n").alias("n")).first().n == 4
+
+
+def test_text_stream(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("\n".join(r["raw"] for r in ROWS) + "\n\n")
+    seen = []
+
+    def keep(df, batch):
+        parsed = parse_syslog(with_arrival_order(df))
+        seen.extend((r.hostname, r.seq) for r in parsed.orderBy("received_at", "seq").collect())
+
+    lines = stream_lines(spark, str(folder), max_files_per_trigger=1)
+    query = lines.writeStream.foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [h for h, _ in seen] == [r["raw"].split()[3] for r in ROWS]
+    assert len({s for _, s in seen}) == len(ROWS)
+    plain = parse_syslog(stream_lines(spark, str(folder)))
+    query = plain.writeStream.format("memory").queryName("plain").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("plain").count() == len(ROWS)
+
+
+def test_upkeep(spark, tmp_path):
+    from alarmlens.operators import incidents as tables
+    from alarmlens.streaming.live import nightly_upkeep
+
+    path = str(tmp_path / "table")
+    row = ("i1", at(0), "A", "e", [], 1, ["l"], "CLOSED", "ACTIVE", 0, "d", at(0), "regular", 1)
+    tables.save(spark, path, spark.createDataFrame([row], schema.INCIDENTS))
+    cache = spark.createDataFrame([("f", "r", at(0))], schema.REPORT_CACHE)
+    removed, live = nightly_upkeep(spark, path, F.lit(at(91 * 86400)), cache=cache)
+    assert removed == 1 and live.count() == 0
+    assert nightly_upkeep(spark, path, F.lit(at(0)))[0] == 0
