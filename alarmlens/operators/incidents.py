@@ -37,7 +37,11 @@ def number_incidents(
         *NATURAL_KEY, "root_cause_node", F.date_format("created_at", "yyyyMMdd").alias("day")
     )
     if stored is not None:
-        known = stored.select(*NATURAL_KEY, F.col("incident_id").alias("known_id"))
+        # Only stored rows of this run's roots matter; the roots are few against the table.
+        related = stored.select(*NATURAL_KEY, "incident_id", "root_cause_node").join(
+            slim.select("root_cause_node").distinct(), "root_cause_node", "left_semi"
+        )
+        known = related.select(*NATURAL_KEY, F.col("incident_id").alias("known_id"))
         slim = slim.join(known, NATURAL_KEY, "left")
     else:
         slim = slim.withColumn("known_id", F.lit(None).cast("string"))
@@ -55,7 +59,7 @@ def number_incidents(
             .agg(F.max("number").alias("taken"))
         )
         # Rows of this run that are stored already count once, through their rank.
-        earlier = count_by_root(stored.join(slim.select(*NATURAL_KEY), NATURAL_KEY, "left_anti"))
+        earlier = count_by_root(related.join(slim.select(*NATURAL_KEY), NATURAL_KEY, "left_anti"))
         ranked = ranked.join(taken, "day", "left").join(earlier, "root_cause_node", "left")
     else:
         ranked = ranked.withColumn("taken", F.lit(0)).withColumn("incidents", F.lit(0))

@@ -146,9 +146,7 @@ class LiveJob:
         topology, physical = self._topology()
         stored = tables.read_table(self.spark, self.table_path)
         found = infer(done, topology, self.rules, physical=physical, time_col=self.time_col)
-        new = materialize(
-            tables.number_incidents(found, None if stored is None else materialize(stored, "stored")), "new"
-        )
+        new = materialize(tables.number_incidents(found, stored), "new")
         tables.save(self.spark, self.table_path, new)
         recoveries = materialize(recovery_nodes(done, topology.nodes, WINDOW), "recoveries")
         recovered = self._recover(recoveries)
