@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alarmlens.llm import bpe, exact_dedup
+from alarmlens.llm import bpe, exact_dedup, simhash_dedup
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def vocabulary() -> str:
 @query
 def op10_bpe(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"), vocabulary())
+
+
+@query
+def op7_simhash_dedup(spark, d):
+    return simhash_dedup.near_groups(table(spark, d, "documents"))
