@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, exact_dedup, simhash_dedup
+from alarmlens.llm import bpe, decontaminate, exact_dedup, simhash_dedup
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,45 @@ def op10_bpe(spark, d):
 @query
 def op7_simhash_dedup(spark, d):
     return simhash_dedup.near_groups(table(spark, d, "documents"))
+
+
+@query
+def op8_decontaminate(spark, d):
+    report = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return report.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+ORACLES["op8_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark),
+spans AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size,
+         array_to_string(words[s : s + least(10, len(words)) - 1], ' ') AS span
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS s FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM spans),
+places AS (
+  SELECT doc_id, size, s, array_to_string(words[s : s + size - 1], ' ') AS span
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s
+        FROM docs, sizes WHERE len(words) >= size)),
+hits AS (SELECT doc_id, size, s, span FROM places WHERE (span, size) IN (SELECT (span, size) FROM spans)),
+words_hit AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + size)) AS w FROM hits) GROUP BY doc_id),
+items_hit AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT h.doc_id, CAST(p.item_id AS VARCHAR) AS item
+        FROM (SELECT DISTINCT doc_id, size, span FROM hits) h JOIN spans p USING (span, size)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.list, '')) AS items_sha256,
+       coalesce(w.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words_hit w USING (doc_id) LEFT JOIN items_hit i USING (doc_id)
+"""
