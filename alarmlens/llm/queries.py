@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, simhash_dedup
+from alarmlens.llm import bpe, decontaminate, exact_dedup, secret_ledger, simhash_dedup
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,58 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit,
        coalesce(w.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words_hit w USING (doc_id) LEFT JOIN items_hit i USING (doc_id)
 """
+
+
+@query
+def op4_secret_ledger(spark, d):
+    found = secret_ledger.scan(table(spark, d, "documents"), secret_ledger.new_ledger(spark))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(secret_ledger.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secret_ledger.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, value: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, stop - len(m[i]) AS start, stop
+  FROM (SELECT doc_id, m, v, i, list_sum(list_transform(p[1:i], lambda x: len(x))) +
+               list_sum(list_transform(m[1:i], lambda x: len(x))) AS stop
+        FROM (SELECT doc_id, m, p, v, unnest(range(1, len(m) + 1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}', 0) AS m, regexp_split_to_array(text, '{quoted}') AS p,
+                           regexp_extract_all(text, '{quoted}', {value}) AS v FROM t)))
+  WHERE len(v[i]) >= {least}"""
+
+
+ORACLES["op4_secret_ledger"] = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ("
+    + " UNION ALL ".join(
+        [
+            _spans_sql(
+                "assign",
+                0,
+                r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                2,
+                6,
+            ),
+            _spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20),
+            _spans_sql("hex", 2, "[0-9a-f]+", 0, 24),
+        ]
+    )
+    + """), joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans
+  FROM found GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
+"""
+)
