@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, secret_ledger, simhash_dedup
+from alarmlens.llm import bpe, decontaminate, exact_dedup, quality, secret_ledger, simhash_dedup, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,13 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 )
+
+
+@query
+def op3_url_filter(spark, d):
+    return url_filter.judge(table(spark, d, "pages"))
+
+
+@query
+def op5_quality(spark, d):
+    return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))

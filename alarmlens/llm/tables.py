@@ -25,3 +25,21 @@ def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null ids count as empty text."""
     as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.pmod(F.crc32(as_text.cast("binary")), F.lit(modulus))
+
+
+def bounded_sample(rows: DataFrame, bound: int, *keys: str) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``keys``; all rows where there are fewer.
+
+    Equal rows are chosen together and the choice does not depend on how the table is cut into files. Only for
+    fitting a model on labelled rows.
+    """
+    total = rows.count()
+    if total <= bound:
+        return rows
+    place = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1_000_000))
+    return rows.filter(place < int(1_000_000 * bound / total))
+
+
+def summed(partial: DataFrame) -> dict[int, float]:
+    """Sums by place of ``(place, value)`` rows; the places are a fixed number set by the model, not the data."""
+    return {r["place"]: r["total"] for r in partial.groupBy("place").agg(F.sum("value").alias("total")).collect()}
