@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, quality, secret_ledger, simhash_dedup, toxicity, url_filter
+from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, toxicity, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def op5_quality(spark, d):
 @query
 def op2_toxicity(spark, d):
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op6_language_id(spark, d):
+    return language_id.languages(table(spark, d, "documents"))
