@@ -25,8 +25,10 @@ from alarmlens.llm.tables import id_and_text
 # The splitting pattern that belongs to the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONG_PIECE = 64
+_ID_BITS = 20
+_NEVER = 1 << 62
 
 
 def byte_symbols() -> dict[str, int]:
@@ -52,15 +54,15 @@ class Codec:
         for i, raw in self.bytes_of.items():
             if len(raw) == 1:
                 self.byte_id[raw[0]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of ids -> rank and id of what they become, in one number
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.joined = np.zeros(1 << 16, bool)  # byte pairs that some token holds
+            self.merges[vocab[left] << _ID_BITS | vocab[right]] = rank << _ID_BITS | vocab[left + right]
+        self.joined = bytearray(1 << 16)  # 1 for byte pairs that some token holds
         for token in vocab:
             raw = bytes(symbols[c] for c in token)
             for a, b in zip(raw, raw[1:]):
-                self.joined[a << 8 | b] = True
+                self.joined[a << 8 | b] = 1
         self.pattern = regex.compile(PIECES)
         ordered = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
@@ -68,40 +70,56 @@ class Codec:
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at every byte pair that no token holds."""
-        if len(raw) < 2:
+        if len(raw) > LONG_PIECE:
+            codes = np.frombuffer(raw, np.uint8).astype(np.uint16)
+            joined = np.frombuffer(self.joined, np.uint8)
+            cuts = (np.flatnonzero(joined[codes[:-1] << 8 | codes[1:]] == 0) + 1).tolist()
+        else:
+            joined = self.joined
+            cuts = [i for i, (a, b) in enumerate(zip(raw, raw[1:]), 1) if not joined[a << 8 | b]]
+        if not cuts:
             return [raw] if raw else []
-        codes = np.frombuffer(raw, np.uint8).astype(np.uint16)
-        cuts = np.flatnonzero(~self.joined[codes[:-1] << 8 | codes[1:]]) + 1
-        edges = [0, *cuts.tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
 
     def merge(self, raw: bytes) -> list[int]:
-        """Ids of one fragment. Leftmost pair of lowest rank first; a heap, so a fragment of any length is fine."""
+        """Ids of one fragment: the leftmost pair of lowest rank is merged until no pair has a rank."""
         ids = [self.byte_id[b] for b in raw]
-        if len(ids) <= LONG_PIECE:
-            while len(ids) > 1:
-                found = [(self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
-                if not found:
-                    break
-                at = min(found)[1]
-                ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
-            return ids
+        if len(ids) > LONG_PIECE:
+            return self._merge_long(ids)
+        get = self.merges.get
+        ranks = [get(a << _ID_BITS | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            new = best & (1 << _ID_BITS) - 1
+            ids[i] = new
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _ID_BITS | new, _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(new << _ID_BITS | ids[i + 1], _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap over a linked list, so that a fragment of any length takes n log n steps."""
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (m := self.merges.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]]))
+            if i >= 0 and after[i] >= 0 and (m := self.merges.get(ids[i] << _ID_BITS | ids[after[i]])) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[after[i]]))
 
         for i in range(len(ids) - 1):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            merged, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
-            ids[i] = self.merges[left, right][1]
+            ids[i] = merged & (1 << _ID_BITS) - 1
             ids[j] = -1
             after[i] = after[j]
             after[j] = -1

@@ -240,14 +240,15 @@ def languages(
     folds: int = 4,
     fold: int = 2,
     per_language: int = 800,
+    learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """Per row: id, held_out, lang_pred, score.
 
-    Trained on text and non-null language of rows whose id's crc32 modulo ``folds`` is not ``fold``, at most about
+    Trained on ``learn_from`` (by default ``docs``): on text and non-null language of rows whose id's crc32 modulo ``folds`` is not ``fold``, at most about
     ``per_language`` of each language. ``und`` with score 0 where the text is null or has no letter, or where nothing could be
     learned. Repeated rows give repeated rows.
     """
-    net = train(training_examples(docs, id_col, text_col, lang_col, folds, fold, per_language))
+    net = train(training_examples(docs if learn_from is None else learn_from, id_col, text_col, lang_col, folds, fold, per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
