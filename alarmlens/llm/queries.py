@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, toxicity, url_filter
+from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, substring_dedup, toxicity, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,8 @@ def op2_toxicity(spark, d):
 @query
 def op6_language_id(spark, d):
     return language_id.languages(table(spark, d, "documents"))
+
+
+@query
+def op9_substring_dedup(spark, d):
+    return substring_dedup.deduplicated(table(spark, d, "documents")).drop("spans")
