@@ -18,36 +18,46 @@ from alarmlens.runtime import materialize
 ORACLE_SQL = None
 
 
+ROW = "_row"
+
+
+def _row():
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep``; of rows with one doc_id, one. A null doc_id is an id like any other."""
-    row = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    ids = keep.select(row.alias("_row")).distinct()
-    once = docs.withColumn("_row", row)
-    return once.join(ids, "_row", "left_semi").select(*docs.columns)
+    """Rows of ``docs`` whose doc_id is in ``keep``. Rows with one doc_id go or stay together; null is an id like any other."""
+    ids = materialize(keep.select(_row().alias(ROW)).distinct(), "kept")
+    return docs.withColumn(ROW, _row()).join(ids, ROW, "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or letters go. Learns from the documents of ``sf_dir``."""
     judged = language_id.languages(docs, learn_from=table(spark, sf_dir, "documents"))
-    return _kept(docs, materialize(judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select("doc_id"), "kept"))
+    return _kept(docs, judged.filter(F.col("lang_pred") != language_id.UNDETERMINED))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    return _kept(docs, materialize(exact_dedup.exact_groups(docs).filter("kept").select("doc_id"), "kept"))
+    """Of equal texts the document with the largest doc_id; of repeated rows of it, one."""
+    kept = exact_dedup.exact_groups(docs).filter("kept").groupBy(_row().alias(ROW), "text_sha256").count()
+    kept = materialize(kept.withColumnRenamed("count", "_rows"), "kept")
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    named = docs.withColumn(ROW, _row()).withColumn("text_sha256", sha)
+    once = named.join(kept.filter("_rows = 1"), [ROW, "text_sha256"], "left_semi")
+    more = named.join(kept.filter("_rows > 1"), [ROW, "text_sha256"], "left_semi").dropDuplicates([ROW, "text_sha256"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
     groups = simhash_dedup.near_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return _kept(docs, materialize(kept, "kept"))
+    return _kept(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in any benchmark passage."""
     report = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, materialize(report.filter(~F.col("contaminated")).select("doc_id"), "kept"))
+    return _kept(docs, report.filter(~F.col("contaminated")))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
