@@ -177,7 +177,7 @@ def parse_syslog(
     )
     message = F.col("_m.message")
     structured = F.col("_m.format") != "raw"
-    return stage.select(
+    parsed = F.struct(
         "domain",
         "seq",
         "received_at",
@@ -197,6 +197,9 @@ def parse_syslog(
         is_recovery(message).alias("is_recovery"),
         F.col("_m.format").alias("format"),
     )
+    # One row out for one in, through a generator: no later filter can be moved below it, where the
+    # optimizer would write the whole parser once into every condition.
+    return stage.select(F.inline(F.array(parsed)))
 
 
 def parse_tagged(lines: DataFrame) -> DataFrame:

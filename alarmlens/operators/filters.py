@@ -11,7 +11,7 @@ _PATTERN_SLICE = 5000
 
 
 def drop_ignored(messages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Drop messages that contain any pattern (literal, case-sensitive)."""
+    """Drop messages that contain any pattern (literal, case-sensitive); a null message contains none."""
     wanted = patterns.filter(F.coalesce(F.col("pattern"), F.lit("")) != "").distinct()
     head = [row.pattern for row in wanted.take(_INLINE_PATTERNS + 1)]
     if not head:
@@ -22,16 +22,14 @@ def drop_ignored(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     kept = messages
     for i in range(slices):
         part = wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == i)
-        kept = kept.join(
-            F.broadcast(part), F.contains(kept["message"], part["pattern"]), "left_anti"
-        )
+        kept = kept.join(part, F.contains(kept["message"], part["pattern"]), "left_anti")
     return kept
 
 
 def _contains_any(text: Column, patterns: list[str]) -> Column:
     found = F.lit(False)
     for pattern in patterns:
-        found = found | text.contains(pattern)
+        found = found | F.coalesce(text.contains(pattern), F.lit(False))
     return found
 
 

@@ -233,6 +233,9 @@ def build_incidents(assigned: DataFrame) -> DataFrame:
     )
 
 
+LOG_KEY = [*WINDOW, "kind", "root_cause_node"]
+
+
 def incident_logs(messages: DataFrame, assigned: DataFrame) -> DataFrame:
     """Every log row with the incident it belongs to, in long form and uncapped."""
     member = assigned.select(*HOST, "root_cause_node", "kind_no")
@@ -278,16 +281,31 @@ def infer(
     ordered by arrival (``seq``), equal coverage by node name. ``raw_logs`` holds the first 200 messages,
     as stored; ``raw_log_count`` counts all, and ``incident_logs`` lists all.
     """
+    incidents, first_logs = infer_parts(
+        messages, topology, rules, drop_recovery=drop_recovery, physical=physical, time_col=time_col
+    )
+    return incidents.join(first_logs, LOG_KEY) if logs else incidents
+
+
+def infer_parts(
+    messages: DataFrame,
+    topology: Topology,
+    rules: Rules = Rules(),
+    *,
+    drop_recovery: bool = True,
+    physical: DataFrame | None = None,
+    time_col: str = "received_at",
+) -> tuple[DataFrame, DataFrame]:
+    """Incidents without logs, and the logs to join on ``LOG_KEY``.
+
+    What is derived from incidents alone, such as their numbers, comes before that join, so the
+    messages are read for logs once.
+    """
     evidence = drop_recoveries(messages) if drop_recovery else messages
     assigned = materialize(
         assign_hosts(evidence, topology, rules, physical=physical, time_col=time_col), "assigned"
     )
-    incidents = build_incidents(assigned)
-    if not logs:
-        return incidents
-    return incidents.join(
-        stored_logs(evidence, assigned, time_col=time_col), [*WINDOW, "kind", "root_cause_node"]
-    )
+    return build_incidents(assigned), stored_logs(evidence, assigned, time_col=time_col)
 
 
 def simple_roots(messages: DataFrame, topology: Topology, closure: DataFrame | None = None) -> DataFrame:

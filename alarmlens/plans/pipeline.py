@@ -16,7 +16,7 @@ from alarmlens.operators.windows import (
     session_windows,
     tumbling_windows,
 )
-from alarmlens.plans.infer import WINDOW, Rules, infer
+from alarmlens.plans.infer import LOG_KEY, WINDOW, Rules, infer, infer_parts
 from alarmlens.runtime import materialize
 
 
@@ -77,17 +77,10 @@ def run_batch(
     windowed = materialize(
         assign_windows(messages, window, window_sec, time_col=time_col, burst=burst), "windowed"
     )
-    incidents = number_incidents(
-        infer(
-            windowed,
-            topology,
-            rules,
-            drop_recovery=drop_recovery,
-            physical=physical,
-            time_col=time_col,
-        ),
-        stored,
+    found, logs = infer_parts(
+        windowed, topology, rules, drop_recovery=drop_recovery, physical=physical, time_col=time_col
     )
+    incidents = number_incidents(found, stored).join(logs, LOG_KEY)
     if apply_recovery:
         incidents = recover(incidents, recovery_nodes(windowed, topology.nodes, WINDOW)).drop(
             "recovered_window"

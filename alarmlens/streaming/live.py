@@ -21,7 +21,7 @@ from alarmlens.operators.closure import physical_closure
 from alarmlens.operators.filters import drop_ignored, recovery_nodes
 from alarmlens.operators.topology import Topology, load_latest
 from alarmlens.operators.windows import DEFAULT_WINDOW_SEC, Burst, newest_per_window
-from alarmlens.plans.infer import WINDOW, Rules, infer
+from alarmlens.plans.infer import LOG_KEY, WINDOW, Rules, infer_parts
 from alarmlens.plans.payloads import event_feed
 from alarmlens.plans.pipeline import assign_windows
 from alarmlens.plans.reports import CACHE_TTL_DAYS, cache_purge
@@ -29,9 +29,6 @@ from alarmlens.runtime import is_empty, materialize
 from alarmlens.sources.lines import with_arrival_order
 from alarmlens.sources.patterns import effective_patterns
 
-_END_OF_TIME = "9999-01-01 00:00:00"
-
-
 @dataclass
 class LiveJob:
     """Folders and rules of one live job; all folders are on shared storage."""
@@ -47,6 +44,8 @@ class LiveJob:
     delay_sec: float = 0.0
     max_size: int | None = None
     time_col: str = "received_at"
+    year: int | None = None
+    tz: str = "UTC"
     rules: Rules = field(default_factory=Rules)
     _closures: dict = field(default_factory=dict, repr=False)
 
@@ -62,7 +61,7 @@ class LiveJob:
         df.write.mode("overwrite").parquet(self._state(name, batch))
 
     def _forget(self, batch: int) -> None:
-        for name in ("pending", "settled", "horizon"):
+        for name in ("pending", "settled", "horizon", "outcome"):
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._state(name, batch))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -79,14 +78,17 @@ class LiveJob:
 
     def process(self, lines: DataFrame, batch: int) -> None:
         """``foreachBatch`` body: parse, join the pending messages, settle what is complete."""
-        parsed = parse_syslog(with_arrival_order(lines))
+        parsed = parse_syslog(with_arrival_order(lines), year=self.year, tz=self.tz)
+        if self.time_col == "event_ts":  # as in batch: lines without a header time go by arrival
+            parsed = parsed.withColumn("event_ts", F.coalesce("event_ts", "received_at"))
         patterns = effective_patterns(self.spark, self.patterns_path)
         self.settle(materialize(drop_ignored(parsed, patterns), "batch"), batch)
 
     def settle(self, fresh: DataFrame, batch: int, *, everything: bool = False) -> None:
         """Settle all windows that end before the horizon; keep the other messages pending.
 
-        The horizon is the newest message time so far minus ``delay_sec``.
+        The horizon of a domain is its newest message time so far minus ``delay_sec``; a domain that is read
+        faster than another does not settle the other's windows.
         """
         pending = self._read_state("pending", batch - 1)
         settled = self._read_state("settled", batch - 1)
@@ -108,11 +110,15 @@ class LiveJob:
             ),
             "windowed",
         )
-        complete = F.col("window_end") < horizon
+        if horizon is None:
+            complete = F.lit(True)
+        else:
+            windowed = windowed.join(horizon, "domain", "left")
+            complete = F.coalesce(F.col("window_end") < F.col("horizon"), F.lit(False))
         self._write_state(
             windowed.filter(~complete).select(*fresh.columns), "pending", batch
         )
-        done = windowed.filter(complete)
+        done = windowed.filter(complete).drop("horizon")
         until = done.groupBy("domain").agg(F.max("window_end").alias("settled_until"))
         if settled is not None:
             until = settled.unionByName(until).groupBy("domain").agg(
@@ -123,52 +129,77 @@ class LiveJob:
             self.publish(done, batch)
         self._forget(batch - 2)
 
-    def _horizon(self, fresh: DataFrame, batch: int, everything: bool):
+    def _horizon(self, fresh: DataFrame, batch: int, everything: bool) -> DataFrame | None:
+        """``(domain, horizon)``, or nothing at the end of input, when every window is settled."""
         if everything:
-            return F.lit(_END_OF_TIME).cast("timestamp")
-        newest = fresh.agg((F.max(self.time_col) - F.make_dt_interval(secs=F.lit(self.delay_sec))).alias("at"))
+            return None
+        newest = F.max(self.time_col) - F.make_dt_interval(secs=F.lit(self.delay_sec))
+        now = fresh.groupBy("domain").agg(newest.alias("horizon"))
         before = self._read_state("horizon", batch - 1)
         if before is not None:
-            newest = newest.unionByName(before).agg(F.max("at").alias("at"))
-        at = newest.select(F.unix_micros("at").alias("us")).first().us
-        at = F.timestamp_micros(F.lit(at)) if at is not None else F.lit(None).cast("timestamp")
-        self._write_state(self.spark.range(1).select(at.alias("at")), "horizon", batch)
-        return F.coalesce(at, F.lit("1970-01-01 00:00:00").cast("timestamp"))
+            now = now.unionByName(before).groupBy("domain").agg(F.max("horizon").alias("horizon"))
+        self._write_state(now, "horizon", batch)
+        return self._read_state("horizon", batch)
 
     def publish(self, done: DataFrame, batch: int) -> None:
-        """Infer, number, save, then apply recoveries and write the event feed.
+        """Infer and number, work out recoveries, then store the outcome and apply it.
 
-        Incidents of a replayed micro-batch keep their identifiers, so saving again
-        changes nothing.
+        The outcome comes from the table as it was before the micro-batch and is stored before the table
+        changes. A replayed micro-batch finds it and applies it again: the feed is the same, and incidents
+        that were closed in between stay closed.
         """
+        outcome = self._read_state("outcome", batch)
+        if outcome is None:
+            self._write_state(self._outcome(done), "outcome", batch)
+            outcome = self._read_state("outcome", batch)
+        new = outcome.filter("change = 'new'").drop("change")
+        recovered = outcome.filter("change = 'recovered'").drop("change")
+        self._apply(new, recovered)
+        self._write_state(event_feed(new, recovered), "feed", batch)
+
+    def _outcome(self, done: DataFrame) -> DataFrame:
+        """New and recovered incidents as they become, with ``change``."""
         if self.max_size:
             done = newest_per_window(done, self.max_size, time_col=self.time_col)
         topology, physical = self._topology()
         stored = tables.read_table(self.spark, self.table_path)
-        found = infer(done, topology, self.rules, physical=physical, time_col=self.time_col)
-        new = materialize(tables.number_incidents(found, stored), "new")
-        tables.save(self.spark, self.table_path, new)
+        incidents, logs = infer_parts(done, topology, self.rules, physical=physical, time_col=self.time_col)
+        new = materialize(tables.number_incidents(incidents, stored).join(logs, LOG_KEY), "new")
         recoveries = materialize(recovery_nodes(done, topology.nodes, WINDOW), "recoveries")
-        recovered = self._recover(recoveries)
-        self._write_state(event_feed(new, recovered), "feed", batch)
+        table = new
+        if stored is not None:
+            concerned = stored.join(
+                recoveries.select("domain", F.col("hostname").alias("root_cause_node")).distinct(),
+                ["domain", "root_cause_node"],
+                "left_semi",
+            )
+            table = concerned.join(new.select("incident_id"), "incident_id", "left_anti").unionByName(
+                new, allowMissingColumns=True
+            )
+        recovered = tables.recover(table, recoveries).filter("recovered_window is not null")
+        return new.withColumn("change", F.lit("new")).unionByName(
+            recovered.select(*new.columns).withColumn("change", F.lit("recovered"))
+        )
 
-    def _recover(self, recoveries: DataFrame) -> DataFrame:
-        """Mark open incidents of recovered roots in the stored table and return them."""
+    def _apply(self, new: DataFrame, recovered: DataFrame) -> None:
+        """Add rows the table doesn't have; set the condition of rows that are still open."""
         table = tables.read_table(self.spark, self.table_path)
-        concerned = table.join(
-            recoveries.select("domain", F.col("hostname").alias("root_cause_node")).distinct(),
-            ["domain", "root_cause_node"],
-            "left_semi",
-        )
-        changed = materialize(
-            tables.recover(concerned, recoveries)
-            .filter("recovered_window is not null")
-            .drop("recovered_window", "created_date"),
-            "recovered",
+        if table is not None:
+            new = new.join(table.select("incident_id"), "incident_id", "left_anti")
+        if not is_empty(new):
+            tables.save(self.spark, self.table_path, new)
+        table = tables.read_table(self.spark, self.table_path)
+        if table is None:
+            return
+        changed = (
+            table.join(recovered.select("incident_id"), "incident_id", "left_semi")
+            .filter(tables._is_recoverable())
+            .withColumn("condition", F.lit("RECOVERED"))
+            .drop("created_date")
         )
+        changed = materialize(changed, "recovered")
         if not is_empty(changed):
             tables.save(self.spark, self.table_path, changed)
-        return changed
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start the query on a stream of raw lines, e.g. ``availableNow=True``."""
