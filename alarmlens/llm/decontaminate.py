@@ -104,14 +104,23 @@ def contamination(
     of_text = places.groupBy("row", "version").agg(F.collect_set(F.struct("at", "size", "own")).alias("places"))
     of_text = materialize(of_text, "places")
 
-    # Every span of ``size`` words that holds the gram, compared word for word.
-    starts = F.expr("sequence(greatest(at + own - size, 0), least(at, size(words) - size))")
+    # Every span of ``size`` words that holds the gram, compared word for word. Start and size travel as one
+    # number, and the spans are cut inside the row, so the words of a long text are not copied for each place.
+    base = window + 1
+    starts = F.expr(
+        "array_distinct(flatten(transform(places, p -> transform("
+        f"sequence(greatest(p.at + p.own - p.size, 0), least(p.at, size(words) - p.size)), s -> s * {base}L + p.size))))"
+    )
+    cut = F.expr(
+        f"transform(starts, c -> struct(cast(c % {base} as int) as size, cast(c div {base} as int) as start, "
+        f"array_join(slice(words, cast(c div {base} as int) + 1, cast(c % {base} as int)), ' ') as span))"
+    )
     around = (
         raw.select("row", "version", "text")
         .join(of_text, ["row", "version"])
-        .select("row", "version", words(F.col("text")).alias("words"), F.inline("places"))
-        .select("row", "version", "words", "size", F.explode(starts).alias("start"))
-        .select("row", "version", "size", "start", F.expr("array_join(slice(words, start + 1, size), ' ')").alias("span"))
+        .withColumn("words", words(F.col("text")))
+        .withColumn("starts", starts)
+        .select("row", "version", F.inline(cut))
     )
     hits = around.join(spans.select("span", "size").distinct(), ["span", "size"], "left_semi").distinct()
     hits = materialize(hits, "hit_spans")
