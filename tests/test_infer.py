@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from alarmlens.operators.topology import ROLE_PRIORITY
 from alarmlens.plans.infer import Rules, assign_hosts, incident_logs, infer, simple_roots, window_summary
-from tests.helpers import POC_EDGES, POC_NODES, at, model_infer, star, topology, windowed
+from tests.helpers import SITE_EDGES, SITE_NODES, at, model_infer, star, topology, windowed
 
 LINK = "%LINK-3-UPDOWN: Interface GE0/0, changed state to down"
 BGP = "%BGP-5-ADJCHANGE: neighbor 10.0.0.1 Down"
@@ -18,119 +18,88 @@ def run(spark, topo, rows, **kw):
     return got
 
 
-@pytest.fixture(scope="module")
-def poc(spark):
-    return topology(spark, POC_NODES, POC_EDGES)
-
-
-def test_scenarios_on_two_trees(spark, poc):
-    """Every scenario is its own domain of one run, so they also show that windows do not mix."""
-    core, dist, acc, branch, bacc = POC_NODES
-    cases = {
-        "01": [(core, LINK), (dist, BGP), (acc, PING)],
-        "02": [(core, LINK), (dist, BGP), (acc, PING), (branch, LINK)],
-        "03": [(branch, LINK), (bacc, CONF)],
-        "04": [(core, LINK), ("UnknownDevice", LINK)],
-        "05": [("Nobody", LINK)],
-        "06": [(branch, LINK, 3, 5), (core, LINK, 3, 0)],
-        "07": [(dist, BGP, 3, 0), (core, LINK, 3, 3)],
-        "08": [(core, LINK, 3), (branch, LINK, 6)],
-        "09": [(core, "low detail", 7), (core, LINK, 3)],
-        "10": [(core, LINK, 6)],
-    }
-    rows = [(*r, *(3, i)[len(r) - 2 :], d) for d, rs in cases.items() for i, r in enumerate(rs)]
+def by_domain(found):
     got = {}
-    for x in run(spark, poc, rows):
+    for x in found:
         got.setdefault(x.domain, []).append(x)
-    one = got["01"]
-    assert len(one) == 1 and one[0].root_cause_node == core and one[0].raw_log_count == 3
-    assert one[0].secondary_nodes == [acc, dist] and one[0].status == "OPEN"
-    assert one[0].primary_event == LINK and one[0].raw_logs == [LINK, BGP, PING]
-    assert [x.root_cause_node for x in got["02"]] == [core, branch]
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got["03"]] == [(branch, [bacc])]
-    assert [x.root_cause_node for x in got["04"]] == [core]
-    assert "05" not in got and "10" not in got
-    assert [x.root_cause_node for x in got["06"]] == [core, branch]
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got["07"]] == [(core, [dist])]
-    assert [x.root_cause_node for x in got["08"]] == [core]
-    assert got["09"][0].raw_logs == ["low detail", LINK] and got["09"][0].primary_event == LINK
-
-
-def test_scenarios_on_small_graphs(spark):
-    """Disjoint graphs side by side in one topology; every scenario is a domain."""
-    leaf, up = "leaf", LINK.replace("down", "up")
-    topo = topology(
-        spark,
-        {
-            **{n: "spine" for n in ("S3", "S1", "S2", "BS", "C1", "C2")},
-            **dict.fromkeys(["S3a", "S3b", "S3c", "S1a", "S2a", "S2b", "Alone", "BL1", "BL2"], leaf),
-            **dict.fromkeys(["C1a", "C1b", "C1c", "RA", "RB", "RC"], leaf),
-            "Router1": "core",
-            "Switch1": "access",
-        },
-        [
-            ("S3", "S3a"), ("S3", "S3b"), ("S3", "S3c"), ("S1", "S1a"), ("S2", "S2a"), ("S2", "S2b"),
-            ("Router1", "Switch1"), ("BS", "BL1"), ("BL1", "BL2", "bgp"),
-            *[(c, f"C1{x}") for c in ("C1", "C2") for x in "abc"],
-            ("RA", "RB"), ("RB", "RC"), ("RC", "RA"),
-        ],
-    )
-    cases = {
-        "silent": [("S3a", BGP), ("S3b", BGP), ("S3c", BGP)],
-        "single": [("S1a", BGP)],
-        "mixed": [("S2a", BGP), ("S2b", BGP), ("Alone", LINK)],
-        "loud": [("S3", LINK), ("S3a", BGP), ("S3b", BGP), ("S3c", BGP)],
-        "flap3": [("S1a", LINK), ("S1a", up), ("S1a", LINK)],
-        "flap2": [("S1a", LINK), ("S1a", up)],
-        "leafflap": [("Router1", BGP)] + [("Switch1", LINK)] * 3,
-        "rootflap": [("Router1", LINK)] * 3 + [("Switch1", BGP)],
-        "bgp": [("BL1", BGP), ("BL2", BGP)],
-        "nobgp": [("BL1", BGP), ("BL2", CONF)],
-        "chain": [("BS", LINK), ("BL1", BGP), ("BL2", BGP)],
-        "ring": [("RC", LINK), ("RA", LINK), ("RB", LINK)],
-        "shared": [("C1", LINK), ("C1a", LINK), ("C2", LINK), ("C1b", LINK)],
-    }
-    rows = [(*r, 3, i, d) for d, rs in cases.items() for i, r in enumerate(rs)]
-    got = {}
-    for x in run(spark, topo, rows, drop_recovery=False):
-        got.setdefault(x.domain, []).append(x)
-    brief = {d: [(x.root_cause_node, x.kind, x.secondary_nodes) for x in xs] for d, xs in got.items()}
-    assert brief == {
-        "silent": [("S3", "silent", ["S3a", "S3b", "S3c"])],
-        "single": [("S1a", "regular", [])],
-        "mixed": [("S2", "silent", ["S2a", "S2b"]), ("Alone", "regular", [])],
-        "loud": [("S3", "regular", ["S3a", "S3b", "S3c"])],
-        "flap3": [("S1a", "flapping", [])],
-        "flap2": [("S1a", "regular", [])],
-        "leafflap": [("Switch1", "flapping", []), ("Router1", "regular", [])],
-        "rootflap": [("Router1", "flapping", []), ("Switch1", "independent", [])],
-        "bgp": [("BL1", "regular", ["BL2"])],
-        "nobgp": [("BL1", "regular", []), ("BL2", "regular", [])],
-        "chain": [("BS", "regular", ["BL1", "BL2"])],
-        "ring": [(n, "independent", []) for n in ("RA", "RB", "RC")],
-        "shared": [("C1", "regular", ["C1a", "C1b"]), ("C2", "regular", [])],
-    }
-    assert got["silent"][0].primary_event.startswith("(inferred") and got["silent"][0].raw_log_count == 3
-    assert got["loud"][0].primary_event == LINK
-    flap = got["flap3"][0]
-    assert (flap.condition, flap.status) == ("FLAPPING", "OPEN")
-    assert flap.primary_event == "FLAPPING: %LINK-3-UPDOWN repeated 3x in window"
-    live = {
-        x.domain: x
-        for x in run(spark, topo, [r for r in rows if r[4] in ("flap3", "leafflap")], rules=Rules(flapping_threshold=0))
-    }
-    assert live["flap3"].condition == "ACTIVE" and live["flap3"].raw_log_count == 2
-    assert live["leafflap"].kind == "regular"
-
-
-def test_simple_variant(spark, poc):
-    core, dist, acc, branch, bacc = POC_NODES
-    rows = [(core, LINK), (dist, BGP), (acc, PING, 7), (branch, LINK), (bacc, CONF), ("Ghost", LINK)]
-    messages = windowed(spark, rows)
-    got = simple_roots(messages, poc).orderBy("root_cause_node").collect()
-    assert [(x.root_cause_node, x.secondary_nodes) for x in got] == [(branch, [bacc]), (core, [acc, dist])]
-    totals = window_summary(messages, simple_roots(messages, poc)).first()
-    assert (totals.raw_logs, totals.root_causes) == (6, 2)
+    return got
+
+
+def forest():
+    """A binary tree of 15, a tree below a session, a ring, and two parents that share their children."""
+    edges = [(f"t{i // 2}", f"t{i}") for i in range(2, 16)]
+    edges += [("v1", "v2"), ("v2", "v3", "bgp"), ("v3", "v4")] + [("x1", "x2"), ("x2", "x3"), ("x3", "x1")]
+    edges += [(y, f"z{i}") for y in ("y1", "y2") for i in range(4)]
+    return edges, sorted({n for e in edges for n in e[:2]})
+
+
+def below(edges, node):
+    found, left = set(), [node]
+    while left:
+        at_ = left.pop()
+        for e in edges:
+            if e[0] == at_ and e[1] not in found:
+                found.add(e[1])
+                left.append(e[1])
+    return found
+
+
+def test_alarm_of_a_whole_tree_has_its_top_as_root(spark):
+    """All nodes of a tree log, in any order: one incident of its top, which covers all others."""
+    edges, nodes = forest()
+    rows = []
+    for k in range(4):
+        hosts = ["t1", *sorted(below(edges, "t1"))]
+        random.Random(k).shuffle(hosts)
+        rows += [(h, LINK, 3, i, f"order{k}") for i, h in enumerate(hosts)]
+    got = by_domain(run(spark, topology(spark, dict.fromkeys(nodes, "leaf"), edges), rows))
+    for k in range(4):
+        (one,) = got[f"order{k}"]
+        assert (one.root_cause_node, one.secondary_nodes) == ("t1", sorted(below(edges, "t1")))
+        assert one.raw_log_count == len(one.raw_logs) == 15
+        assert (one.status, one.condition, one.primary_event) == ("OPEN", "ACTIVE", LINK)
+
+
+def test_hosts_outside_the_topology_and_mild_messages_make_nothing(spark):
+    edges, nodes = forest()
+    rows = [("stranger", LINK, 3, 0, "a"), ("t4", LINK, 6, 0, "b"), ("t4", LINK, 7, 1, "b"), ("t4", LINK, 6, 0, "c"), ("t4", BGP, 5, 1, "c")]
+    got = by_domain(run(spark, topology(spark, dict.fromkeys(nodes, "leaf"), edges), rows))
+    assert set(got) == {"c"} and got["c"][0].raw_logs == [LINK, BGP] and got["c"][0].primary_event == BGP
+
+
+@pytest.mark.parametrize("threshold", [3, 0])
+def test_windows_over_a_forest_match_the_model(spark, threshold):
+    """Storms, repeats and recoveries of neighbouring hosts, window by window."""
+    edges, nodes = forest()
+    rng = random.Random(40 + threshold)
+    up = LINK.replace("down", "up")
+    per_window, rows = {}, []
+    for w in range(60):
+        start = rng.choice(nodes)
+        near = sorted({start, *below(edges, start), *[e[0] for e in edges if e[1] == start]})
+        for i in range(rng.randint(1, 14)):
+            rows.append((rng.choice(near), rng.choice([LINK, LINK, up, BGP, CONF, PING]), rng.choice([2, 3, 5, 6]), i, f"f{w:02d}"))
+    for i, r in enumerate(rows):
+        per_window.setdefault(r[4], []).append((r[0], r[1], r[2], r[3], i))
+    topo = topology(spark, dict.fromkeys(nodes, "leaf"), edges)
+    got = by_domain(run(spark, topo, rows, drop_recovery=False, rules=Rules(flapping_threshold=threshold)))
+    for w, messages in per_window.items():
+        found = [(x.kind, x.root_cause_node, tuple(x.secondary_nodes), x.primary_event, x.raw_logs) for x in got.get(w, [])]
+        assert found == model_infer(messages, [e if len(e) > 2 else (*e, "physical") for e in edges], nodes, flap=threshold or 10**9), w
+
+
+def test_simple_variant(spark):
+    """Without severities, sessions and silent roots: what logs and has no logging ancestor is a root."""
+    edges, nodes = forest()
+    rng = random.Random(9)
+    hosts = rng.sample([n for n in nodes if n[0] != "x"], 9)
+    messages = windowed(spark, [(h, rng.choice([LINK, PING]), rng.choice([1, 7]), i) for i, h in enumerate([*hosts, "stranger"])])
+    topo = topology(spark, dict.fromkeys(nodes, "leaf"), edges)
+    got = {x.root_cause_node: x.secondary_nodes for x in simple_roots(messages, topo).collect()}
+    roots = [h for h in hosts if not any(h in below(edges, o) for o in hosts if o != h)]
+    assert got == {r: sorted(below(edges, r) & set(hosts)) for r in roots}
+    totals = window_summary(messages, simple_roots(messages, topo)).first()
+    assert (totals.raw_logs, totals.root_causes) == (10, len(roots))
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -9,7 +9,7 @@ from alarmlens.operators.topology import save_version
 from alarmlens.plans.pipeline import run_batch
 from alarmlens.sources.lines import stream_datagrams, stream_lines, with_arrival_order
 from alarmlens.streaming.live import LiveJob, count_received, session_counts, tumbling_hosts
-from tests.helpers import POC_EDGES, POC_NODES, at, topology
+from tests.helpers import SITE_EDGES, SITE_NODES, at, topology
 
 DOWN = "%LINK-3-UPDOWN: Interface GE0/0, changed state to down"
 UP = "%LINK-3-UPDOWN: Interface GE0/0, changed state to up"
@@ -21,10 +21,10 @@ def _line(host, text, sec, seq):
 
 
 ROWS = [
-    _line("Core-Router1", DOWN, 0, 0), _line("Dist-Switch1", DOWN, 4, 1), _line("Access-SW1", DOWN, 30, 2),
-    _line("Branch-Router2", DOWN, 31, 3), _line("Core-Router1", UP, 45, 4),
-    _line("Branch-Access-SW1", DOWN, 61, 5), _line("Core-Router1", DOWN, 70, 6), _line("Branch-Router2", UP, 95, 7),
-    _line("Access-SW1", DOWN, 110, 8),
+    _line("hub", DOWN, 0, 0), _line("mid-w", DOWN, 4, 1), _line("end-w1", DOWN, 30, 2),
+    _line("gate", DOWN, 31, 3), _line("hub", UP, 45, 4),
+    _line("gate-cpe", DOWN, 61, 5), _line("hub", DOWN, 70, 6), _line("gate", UP, 95, 7),
+    _line("end-w1", DOWN, 110, 8),
 ]
 KEEP = ["domain", "window_start", "emit_rank", "incident_id", "root_cause_node", "secondary_nodes",
         "raw_logs", "condition", "recurrence_count"]
@@ -32,7 +32,7 @@ KEEP = ["domain", "window_start", "emit_rank", "incident_id", "root_cause_node",
 
 @pytest.fixture()
 def job(spark, tmp_path):
-    topo = topology(spark, POC_NODES, POC_EDGES)
+    topo = topology(spark, SITE_NODES, SITE_EDGES)
     save_version(topo, str(tmp_path / "topo"), 1)
     return LiveJob(spark, str(tmp_path / "state"), str(tmp_path / "table"), str(tmp_path / "topo"))
 
@@ -51,14 +51,16 @@ def _run(spark, job, tmp_path, batches):
 
 
 def test_stream_equals_batch_and_survives_replay(spark, job, tmp_path):
-    late = _line("Dist-Switch1", DOWN, 12, 99)
+    late = _line("mid-w", DOWN, 12, 99)
     last = _run(spark, job, tmp_path, [ROWS[:5], [late, *ROWS[5:]]])
     # The same micro-batch again, as after a failure.
     lines = spark.createDataFrame(
         [(r["raw"], r["source_ip"], at(s), r["seq"]) for r, s in zip([late, *ROWS[5:]], (12, 61, 70, 95, 110))],
         schema.RAW_LINES,
     )
+    before = sorted(map(str, job.feed().collect()))
     job.process(lines, last)
+    assert sorted(map(str, job.feed().collect())) == before
     job.drain(last)
     every = spark.createDataFrame(
         [(r["raw"], r["source_ip"], at(s), r["seq"])
@@ -124,3 +126,37 @@ def test_upkeep(spark, tmp_path):
     removed, live = nightly_upkeep(spark, path, F.lit(at(91 * 86400)), cache=cache)
     assert removed == 1 and live.count() == 0
     assert nightly_upkeep(spark, path, F.lit(at(0)))[0] == 0
+
+
+def test_event_time_lines_without_header_time_go_by_arrival(spark, job):
+    job.time_col, job.year = "event_ts", 2026
+    raws = ["<11>Aug 17 10:00:01 hub %A-3-B: one", "no header at all"]
+    lines = spark.createDataFrame([(r, "hub", at(2 + i), i) for i, r in enumerate(raws)], schema.RAW_LINES)
+    job.process(lines, 0)
+    assert job._read_state("pending", 0).count() == 2 and job.late_rows() is None
+
+
+def test_closed_incidents_stay_closed_on_replay(spark, job):
+    from alarmlens.operators import incidents as tables
+
+    rows = [(r["raw"], r["source_ip"], at(s), r["seq"]) for r, s in zip(ROWS[:3], (0, 4, 200))]
+    lines = spark.createDataFrame(rows, schema.RAW_LINES)
+    job.process(lines, 0)
+    table = spark.read.parquet(job.table_path)
+    n = table.count()
+    closed = table.drop("created_date").withColumn("status", F.lit("CLOSED"))
+    tables.save(spark, job.table_path, closed)
+    job.process(lines, 0)
+    assert [r.status for r in spark.read.parquet(job.table_path).collect()] == ["CLOSED"] * n
+
+
+def test_a_fast_domain_does_not_settle_a_slow_one(spark, job):
+    messages = [("fast", 0, 0), ("fast", 500, 1), ("slow", 1, 2)]
+    fresh = parse_syslog(
+        spark.createDataFrame(
+            [(d, ROWS[0]["raw"], "hub", at(s), n) for d, s, n in messages],
+            "domain string, raw string, source_ip string, received_at timestamp, seq bigint",
+        )
+    )
+    job.settle(fresh, 0)
+    assert sorted((r.domain, r.seq) for r in job._read_state("pending", 0).collect()) == [("fast", 1), ("slow", 2)]

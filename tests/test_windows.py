@@ -89,18 +89,19 @@ def test_newest_rows_and_guard(spark):
     check_window_sec(600)
 
 
-@pytest.mark.parametrize(
-    "ages,burst,expected",
-    [
-        ([0, 0.5, 1, 2, 2.5], Burst(5, 5), True),
-        ([0, 1, 2, 2.5], Burst(5, 5), False),
-        ([11] * 10, Burst(5, 5), False),
-        ([0] * 5, Burst(5, 0), False),
-        ([0] * 5, Burst(0, 5), False),
-        ([1, 1, 1, 1] + [20] * 10, Burst(5, 5), False),
-        ([1, 1, 1, 1] + [20] * 10, Burst(5, 4), True),
-    ],
-)
-def test_burst(spark, ages, burst, expected):
+def _burst_cases():
+    """Random ages around the border of the span, the border itself, and rules that are switched off."""
+    rng = random.Random(17)
+    cases = [
+        ([rng.choice([0, 0.25, 2.75, 3, 3.25, 40]) for _ in range(rng.randint(1, 8))], rng.randint(1, 6), rng.choice([2.75, 3, 3.125]))
+        for _ in range(6)
+    ]
+    return cases + [([3], 1, 3), ([3.001], 1, 3), ([0.5] * 7, 7, 3), ([0.5] * 6, 7, 3), ([1, 2], 0, 3), ([0, 0], 2, 0)]
+
+
+@pytest.mark.parametrize("ages,count,span", _burst_cases())
+def test_burst(spark, ages, count, span):
+    burst = Burst(span, count)
+    expected = count > 0 and span > 0 and sum(a <= span for a in ages) >= count
     frame = _frame(spark, [100 - a for a in ages])
     assert burst_detected(frame, F.lit(at(100)), burst).first().burst is expected
