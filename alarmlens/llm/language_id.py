@@ -241,6 +241,7 @@ def languages(
     fold: int = 2,
     per_language: int = 800,
     learn_from: DataFrame | None = None,
+    steps: int = 220,
 ) -> DataFrame:
     """Per row: id, held_out, lang_pred, score.
 
@@ -248,14 +249,14 @@ def languages(
     ``per_language`` of each language. ``und`` with score 0 where the text is null or has no letter, or where nothing could be
     learned. Repeated rows give repeated rows.
     """
-    net = train(training_examples(docs if learn_from is None else learn_from, id_col, text_col, lang_col, folds, fold, per_language))
+    net = train(training_examples(docs if learn_from is None else learn_from, id_col, text_col, lang_col, folds, fold, per_language), steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             legible = np.array([bool(net.languages) and any(map(str.isalpha, t)) for t in texts], bool)
             probabilities = document_probabilities(net, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, legible)])
-            best = probabilities.argmax(axis=1) if len(texts) else np.zeros(0, int)
+            best = probabilities.argmax(axis=1) if probabilities.size else np.zeros(len(texts), int)
             names = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, legible)]
             scores = np.where(legible, probabilities.max(axis=1, initial=0), 0.0)
             yield pa.RecordBatch.from_arrays(
