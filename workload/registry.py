@@ -220,6 +220,29 @@ def ignore_filter(spark, d):
     return FL.drop_ignored(messages(spark, d), literal_patterns(spark, IGNORED)).select("seq", "message")
 
 
+@register("parse_and_filter", ORACLES["ignore_filter"])
+def parse_and_filter(spark, d):
+    """Raw lines parsed and filtered in one plan, without a stored table in between."""
+    parsed = P.parse_syslog(inputs.raw_lines(spark, d))
+    return FL.drop_ignored(parsed, literal_patterns(spark, IGNORED)).select("seq", "message")
+
+
+@register(
+    "long_ignore_list",
+    O.query(
+        """SELECT seq, message FROM msgs m WHERE NOT EXISTS (SELECT 1 FROM
+        (SELECT DISTINCT right(message, 9) AS p FROM msgs WHERE severity = 3 AND length(message) >= 9) t
+        WHERE contains(m.message, t.p))""",
+        *INPUT,
+    ),
+)
+def long_ignore_list(spark, d):
+    """Patterns taken from the messages themselves: too many for one predicate."""
+    long = messages(spark, d).filter("severity = 3 and length(message) >= 9")
+    patterns = materialize(long.select(F.expr("right(message, 9)").alias("pattern")).distinct(), "patterns")
+    return FL.drop_ignored(messages(spark, d), patterns).select("seq", "message")
+
+
 @register(
     "severity_counts",
     O.query(
