@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _RUN_ID = uuid.uuid4().hex[:12]
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "alarmlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,7 +33,24 @@ def build_session(app: str = "alarmlens", master: str | None = None, **conf: str
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it anywhere."""
+    app_id = spark.sparkContext.applicationId
+    if app_id in _SHIPPED:
+        return
+    _SHIPPED.add(app_id)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="alarmlens-code-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(
+        os.path.join(folder, "alarmlens"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_dir(spark: SparkSession) -> str:
