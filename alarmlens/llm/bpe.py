@@ -6,7 +6,7 @@ own, by merging the pair of lowest rank until none is left, and the ids are put
 Pieces of the vocabulary's own splitting pattern bound the fragments first, because the pattern looks
 at neighbouring characters and so has to see the whole text.
 
-Words repeat, so each Python worker keeps the ids of pieces it has met, up to a fixed number.
+Words repeat, so each Python worker keeps the ids of pieces it has met lately, up to a fixed number.
 """
 from __future__ import annotations
 
@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from alarmlens.llm.tables import id_and_text
+from alarmlens.llm.tables import id_and_text, in_slices
 
 # The splitting pattern that belongs to the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-REMEMBERED = 400_000
+REMEMBERED = 80_000  # pieces of one generation; a worker keeps two
 LONG_PIECE = 64
 _ID_BITS = 20
 _NEVER = 1 << 62
@@ -67,6 +67,7 @@ class Codec:
         ordered = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
         self.pieces: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at every byte pair that no token holds."""
@@ -130,11 +131,13 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def _learn(self, piece: str) -> tuple[int, bytes, bytes]:
-        ids = [i for fragment in self.fragments(piece.encode("utf-8")) for i in self.merge(fragment)]
-        known = (len(ids), ",".join(map(str, ids)).encode(), b"".join(self.bytes_of[i] for i in ids))
+        known = self.pieces.get(piece) or self.older.get(piece)
+        if not known:
+            ids = [i for fragment in self.fragments(piece.encode("utf-8")) for i in self.merge(fragment)]
+            known = (len(ids), ",".join(map(str, ids)).encode(), b"".join(self.bytes_of[i] for i in ids))
         if len(piece) <= LONG_PIECE:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
+            if len(self.pieces) >= REMEMBERED:  # pieces in use move on to the new generation
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = known
         return known
 
@@ -189,7 +192,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
-        for batch in batches:
+        for batch in in_slices(batches):
             counts, id_digests, text_digests, all_ids, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 parts = list(coder.known_pieces(text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.tables import crc_remainder, id_and_text
+from alarmlens.llm.tables import crc_remainder, id_and_text, in_slices
 
 HIDDEN = 8
 STRETCH = 256
@@ -252,7 +252,7 @@ def languages(
     net = train(training_examples(docs if learn_from is None else learn_from, id_col, text_col, lang_col, folds, fold, per_language), steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(1).to_pylist()
             legible = np.array([bool(net.languages) and any(map(str.isalpha, t)) for t in texts], bool)
             probabilities = document_probabilities(net, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, legible)])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.tables import crc_remainder, id_and_text, summed
+from alarmlens.llm.tables import crc_remainder, id_and_text, in_slices, summed
 from alarmlens.runtime import materialize
 
 FEATURES = 18
@@ -82,7 +82,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, x)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.llm.components import components
-from alarmlens.llm.tables import id_and_text
+from alarmlens.llm.tables import id_and_text, in_slices
 from alarmlens.runtime import is_empty, materialize
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)``; fp is the unsigned fingerprint in a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"]

@@ -1,6 +1,9 @@
 """Input tables and small column helpers of the text operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,10 @@ def bounded_sample(rows: DataFrame, bound: int, *keys: str) -> DataFrame:
 def summed(partial: DataFrame) -> dict[int, float]:
     """Sums by place of ``(place, value)`` rows; the places are a fixed number set by the model, not the data."""
     return {r["place"]: r["total"] for r in partial.groupBy("place").agg(F.sum("value").alias("total")).collect()}
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker turns few texts into Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.tables import bounded_sample, crc_remainder, id_and_text, summed
+from alarmlens.llm.tables import bounded_sample, crc_remainder, id_and_text, in_slices, summed
 from alarmlens.runtime import materialize
 
 LEXICON = 48
@@ -147,7 +147,7 @@ def cast_votes(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = 1 << np.arange(scorer.voters, dtype=np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             masks = [int((scorer.votes(t, terms(t)).astype(np.int64) * bits).sum()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64())], names=["id", "votes"])
 
@@ -285,7 +285,7 @@ def toxicity_scores(
     scorer = fit_classifier(list(zip(texts, posteriors.tolist())), lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             scores = pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["id", "score"])
 
