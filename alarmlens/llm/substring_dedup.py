@@ -131,27 +131,41 @@ def _contents(joined: DataFrame, length: int) -> DataFrame:
     return joined.select("number", "text", "places").mapInArrow(run, "g long, content binary, code long, rel int")
 
 
-def _repeats_in(block: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, windows) of runs of repeated windows among different contexts ``(content, code)``."""
-    sizes = np.array([len(c) for c, _ in block])
-    text = np.zeros(int(sizes.sum()) + len(block), np.int64)  # 0 ends a context
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    raw = np.frombuffer(b"\0".join(c for c, _ in block) + b"\0", np.uint8)
-    ends = starts + sizes
-    text[:] = raw
-    text += 1
-    text[ends] = 0
-    windows = np.concatenate([np.arange(s, e - length + 1) for s, e in zip(starts, ends)])
+def _repeats_in(block: list[tuple[int, bytes, int, int]], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, windows) of runs of repeated windows among different contexts ``(g, content, code, rel)``.
+
+    Every window holds its context's anchor, which is the same for all contexts of one ``g``, so the anchor
+    stands as one symbol of its own in the text that is sorted.
+    """
+    sizes = np.array([len(content) for _, content, _, _ in block])
+    raw = np.frombuffer(b"".join(content for _, content, _, _ in block), np.uint8)
+    raw_starts = np.cumsum(sizes) - sizes
+    rel = np.array([r for _, _, _, r in block], np.int64)
+    _, symbol = np.unique(np.array([g for g, _, _, _ in block], np.int64), return_inverse=True)
+    owner_of_byte = np.repeat(np.arange(len(block)), sizes)
+    inside = np.arange(len(raw)) - (raw_starts + rel)[owner_of_byte]
+    wide = raw.astype(np.int64) + 1
+    wide[raw_starts + rel] = 257 + symbol
+    kept = (inside <= 0) | (inside >= gram)
+    short = sizes - (gram - 1)
+    starts = np.cumsum(short + 1) - short - 1
+    text = np.zeros(int(short.sum()) + len(block), np.int64)  # 0 ends a context
+    places = np.ones(len(text), bool)
+    places[starts + short] = False
+    text[places] = wide[kept]
     owner = np.repeat(np.arange(len(block)), sizes - length + 1)
+    nth = np.arange(len(owner)) - (np.cumsum(sizes - length + 1) - (sizes - length + 1))[owner]
     codes = np.full(len(text), -1, np.int64)
-    codes[windows] = np.array([code for _, code in block], np.int64)[owner] + windows - starts[owner]
+    codes[starts[owner] + nth] = np.array([code for _, _, code, _ in block], np.int64)[owner] + nth
+    raw_place = np.zeros(len(text), np.int64)
+    raw_place[starts[owner] + nth] = raw_starts[owner] + nth
     order = suffix_array(text)
     order = order[codes[order] >= 0]
     same = np.zeros(len(order), bool)
     view = np.lib.stride_tricks.sliding_window_view(raw, length)
     for at in range(1, len(order), 4096):
-        here = order[at : at + 4096]
-        same[at : at + 4096] = (view[here] == view[order[at - 1 : at - 1 + len(here)]]).all(axis=1)
+        here = raw_place[order[at : at + 4096]]
+        same[at : at + 4096] = (view[here] == view[raw_place[order[at - 1 : at - 1 + len(here)]]]).all(axis=1)
     heads = np.flatnonzero(~same)
     ranked = codes[order]
     least = np.repeat(np.minimum.reduceat(ranked, heads), np.diff(np.append(heads, len(order))))
@@ -163,31 +177,31 @@ def _repeats_in(block: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray
     return repeated[first], np.diff(np.append(first, len(repeated)))
 
 
-def _sorted_repeats(groups: DataFrame, length: int) -> DataFrame:
+def _sorted_repeats(groups: DataFrame, length: int, gram: int) -> DataFrame:
     """``(code, windows)`` of repeats between different contexts with one ``g``. Groups are whole within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
+                yield from zip(*(batch.column(i).to_pylist() for i in range(4)))
 
         def solved(block):
-            code, windows = _repeats_in(block, length)
+            code, windows = _repeats_in(block, length, gram)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(windows.astype(np.int64))], names=["code", "windows"])
 
-        block: list[tuple[bytes, int]] = []
+        block: list[tuple[int, bytes, int, int]] = []
         held, key = 0, None
-        for g, content, code in rows():
+        for g, content, code, rel in rows():
             if g != key and held > SORTED_BYTES:
                 yield solved(block)
                 block, held = [], 0
             key = g
-            block.append((content, code))
+            block.append((g, content, code, rel))
             held += len(content)
         if block:
             yield solved(block)
 
-    placed = groups.select("g", "content", "code").repartition("g").sortWithinPartitions("g")
+    placed = groups.select("g", "content", "code", "rel").repartition("g").sortWithinPartitions("g")
     return placed.mapInArrow(run, "code long, windows long")
 
 
@@ -222,11 +236,11 @@ def _collapsed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "content").agg(F.min("code").alias("code"), F.min("rel").alias("rel"))
 
 
-def _resolve(firsts: DataFrame, length: int, limit: int) -> list[DataFrame]:
+def _resolve(firsts: DataFrame, length: int, gram: int, limit: int) -> list[DataFrame]:
     """Repeated windows among different contexts, ``(code, windows)``."""
     counts = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = materialize(counts, "shared_anchors")
-    found = [_sorted_repeats(firsts.join(counts.filter(F.col("n") <= limit), "g"), length)]
+    found = [_sorted_repeats(firsts.join(counts.filter(F.col("n") <= limit), "g"), length, gram)]
     crowded = counts.filter(F.col("n") > limit).select("g")
     rows = firsts.join(crowded, "g")
     for step in (8, 1):
@@ -239,7 +253,7 @@ def _resolve(firsts: DataFrame, length: int, limit: int) -> list[DataFrame]:
         if step == 1:
             break  # a context of one window is a whole window: different contexts are different windows
         counts = materialize(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared_cores")
-        found.append(_sorted_repeats(firsts.join(counts.filter(F.col("n") <= limit), "g"), length))
+        found.append(_sorted_repeats(firsts.join(counts.filter(F.col("n") <= limit), "g"), length, gram))
         crowded = counts.filter(F.col("n") > limit).select("g")
         rows = firsts.join(crowded, "g")
     return found
@@ -297,7 +311,7 @@ def deduplicated(
     firsts = materialize(_collapsed(_contents(texts.join(of_text, "sha"), length)), "first_contexts")
     later = suspicious.join(firsts.select("code"), "code", "left_anti")
     found = later.select("code", (F.col("width") + 1).cast("long").alias("windows"))
-    for more in _resolve(firsts, length, group_limit):
+    for more in _resolve(firsts, length, gram, group_limit):
         found = found.unionByName(more)
 
     at = (F.col("code") - F.shiftleft(F.shiftright("code", PLACE_BITS), PLACE_BITS)).alias("at")

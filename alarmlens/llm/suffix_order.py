@@ -39,6 +39,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     end = n
     while end > 0:
         start = group[placed[end - 1]]
+        if end - start == 1:  # one suffix points at one place: the same steps without tables
+            i = placed[start]
+            j = i - 1
+            while j >= 0 and group[j] >= start:
+                j = previous[j]
+            previous[i] = j
+            end = start
+            if j >= 0 and sizes[group[j]] > 1:
+                old = group[j]
+                sizes[old] -= 1
+                last = old + sizes[old]
+                at, other = place[j], placed[last]
+                placed[at], placed[last] = other, j
+                place[other], place[j] = at, last
+                sizes[last] = 1
+                group[j] = last
+            continue
         pointed: dict[int, int] = {}
         for i in sorted(placed[start:end]):
             j = i - 1
