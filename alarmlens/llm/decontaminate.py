@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.tables import ALPHA_LOWER, ALPHA_UPPER
+from alarmlens.llm.tables import ALPHA_LOWER, ALPHA_UPPER, text_sha256
 from alarmlens.runtime import materialize
 
 WINDOW = 10
@@ -72,8 +72,10 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     gram: int = GRAM,
+    digests: bool = False,
 ) -> DataFrame:
-    """Per document row: id, n_words, n_hit, n_items, items (sorted item ids as strings), contaminated.
+    """Per document row: id, n_words, n_hit, n_items, items (sorted item ids as strings), contaminated; with ``digests``
+    also text_sha256.
 
     A word is hit if it lies in any occurrence of an item's span. Null and empty texts have no words and
     are never contaminated; items without words are left out, and an empty benchmark hits nothing. Rows that
@@ -88,7 +90,10 @@ def contamination(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
-    counted = raw.select("row", "version", "id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    more = ["text_sha256"] if digests else []
+    counted = raw.select(
+        "row", "version", "id", F.size(words(F.col("text"))).cast("long").alias("n_words"), *[text_sha256("text") for _ in more]
+    )
 
     sizes = [r["size"] for r in spans.select("size").distinct().orderBy("size").collect()]  # at most ``window`` numbers
     texts = raw.select("row", "version", words(F.col("text")).alias("words"))
@@ -147,4 +152,5 @@ def contamination(
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *more,
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.tables import crc_remainder, id_and_text, in_slices
+from alarmlens.llm.tables import crc_remainder, id_and_text, in_slices, text_sha256
 
 HIDDEN = 8
 STRETCH = 256
@@ -242,8 +242,9 @@ def languages(
     per_language: int = 800,
     learn_from: DataFrame | None = None,
     steps: int = 220,
+    digests: bool = False,
 ) -> DataFrame:
-    """Per row: id, held_out, lang_pred, score.
+    """Per row: id, held_out, lang_pred, score; with ``digests`` also text_sha256.
 
     Trained on ``learn_from`` (by default ``docs``): on text and non-null language of rows whose id's crc32 modulo ``folds`` is not ``fold``, at most about
     ``per_language`` of each language. ``und`` with score 0 where the text is null or has no letter, or where nothing could be
@@ -260,9 +261,15 @@ def languages(
             names = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, legible)]
             scores = np.where(legible, probabilities.max(axis=1, initial=0), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"]
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), *batch.columns[2:]],
+                names=["id", "lang_pred", "score", *more],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double").select(
-        F.col("id").alias(id_col), (crc_remainder("id", folds) == fold).alias("held_out"), "lang_pred", "score"
+    source = id_and_text(docs, id_col, text_col)
+    more = ["text_sha256"] if digests else []
+    if digests:
+        source = source.select("id", "text", text_sha256("text"))
+    schema = "id long, lang_pred string, score double" + "".join(f", {name} string" for name in more)
+    return source.mapInArrow(run, schema).select(
+        F.col("id").alias(id_col), (crc_remainder("id", folds) == fold).alias("held_out"), "lang_pred", "score", *more
     )

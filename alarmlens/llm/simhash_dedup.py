@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.llm.components import components
-from alarmlens.llm.tables import id_and_text, in_slices
+from alarmlens.llm.tables import id_and_text, in_slices, text_sha256
 from alarmlens.runtime import is_empty, materialize
 
 BITS = 64
@@ -61,17 +61,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(set_bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)``; fp is the unsigned fingerprint in a signed long. Null texts have no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """``(id, fp)``, with ``digests`` also text_sha256; fp is the unsigned fingerprint in a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"]
+                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *more]
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    source = id_and_text(docs, id_col, text_col)
+    more = ["text_sha256"] if digests else []
+    if digests:
+        source = source.select("id", "text", text_sha256("text"))
+    return source.mapInArrow(run, "id long, fp long" + "".join(f", {name} string" for name in more))
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -246,14 +250,17 @@ def links(prints: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     return light.unionByName(_linked(longer))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id.
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, digests: bool = False
+) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id; with ``digests`` also component (a number
+    that only this component has, also if no row of it has an id) and text_sha256.
 
     Rows whose fingerprints are linked, directly or through others, share the smallest id as component_id. Null
     and empty texts have fingerprint zero and are linked like any other. A row with a null id belongs to its
     component; the component_id is null only where no row of it has an id.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = materialize(fingerprints(docs, id_col, text_col, digests=digests), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct_fingerprints")
     found = components(links(nodes.select("fp"), group_limit))
     placed = nodes.join(found, nodes["fp"] == found["node"], "left").select(
@@ -261,7 +268,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     placed = materialize(placed, "placed")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = placed.join(smallest, "component").select("fp", "component_id")
+    of_print = placed.join(smallest, "component").select("fp", "component", "component_id")
+    more = ["component", "text_sha256"] if digests else []
     return prints.join(of_print, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more
     )

@@ -24,6 +24,11 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
 
+def text_sha256(text_col: str) -> Column:
+    """Digest of the text, which with the id names a row; null texts count as empty."""
+    return F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("text_sha256")
+
+
 def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null ids count as empty text."""
     as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

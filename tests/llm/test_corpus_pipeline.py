@@ -50,3 +50,26 @@ def test_stages_of_no_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(language_id, "train", lambda examples, steps=0, real=language_id.train: real(examples, 5))
+    passage = "this passage of ten words stands in the benchmark itself"
+    text = [" ".join(f"{w}{k}" for k in range(9)) for w in ("alpha", "beta", "gamma", "delta")]
+    letterless, leaked = ["1 2 3", "", None, "?!"], [f"{t} {passage}" for t in text]
+    near = {t: t.upper().title() for t in text}  # other text, same fingerprint
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], docs)
+    frame([(1, text[0]), (2, text[1])]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda stage, rows: sorted(((r["doc_id"] or -1, r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+
+    for i, shown in ((None, -1), (7, 7)):
+        rows = [(i, t) for t in text]
+        whole = sorted(((shown, t) for t in text), key=str)
+        assert run(corpus_pipeline.language_stage, rows + [(i, t) for t in letterless]) == whole
+        assert run(corpus_pipeline.benchmark_stage, rows + [(i, t) for t in leaked]) == whole
+        got = run(corpus_pipeline.near_stage, rows + rows[:1] + [(i, near[t]) for t in text])
+        assert len(got) == 4 and {t.lower() for _, t in got} == set(text)
+    mixed = run(corpus_pipeline.near_stage, [(None, text[0]), (9, near[text[0]]), (9, text[1]), (None, near[text[1]]), (None, near[text[2]])])
+    assert mixed == sorted([(9, near[text[0]]), (9, text[1]), (-1, near[text[2]])], key=str)
