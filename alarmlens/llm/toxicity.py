@@ -6,7 +6,8 @@ expectation-maximisation over the votes of all documents, and the correlation of
 voters that agree share their evidence. Its posterior labels train a linear classifier on hashed words, word
 beginnings and votes, which scores every text.
 
-Labels are used to find the lexicon and to start the label model; what a voter is worth comes from all documents.
+Labels are used to find the lexicon and to start the label model, and all learnable labels count; what a voter is worth
+comes from all documents. The lexicon holds LEXICON terms at most.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.llm.tables import bounded_sample, crc_remainder, id_and_text, in_slices, summed
-from alarmlens.runtime import materialize
+from alarmlens.runtime import is_empty, materialize
 
 LEXICON = 48
 BEGINNINGS = (4, 5, 6)
@@ -105,8 +106,9 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def find_lexicon(known: DataFrame, size: int = LEXICON, least_share: float = 0.004) -> dict[str, int]:
-    """Terms that tell the classes apart best in ``(text, label)``: by log ratio of document shares times support."""
+def find_lexicon(known: DataFrame, totals: dict[int, int], size: int = LEXICON, least_share: float = 0.004) -> dict[str, int]:
+    """Terms that tell the classes apart best in ``(text, label)``: by log ratio of document shares times support.
+    ``totals``: rows per label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -125,7 +127,6 @@ def find_lexicon(known: DataFrame, size: int = LEXICON, least_share: float = 0.0
                 yield flush()
         yield flush()
 
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return {}
     counted = known.select("text", "label").mapInArrow(count, "term string, n0 long, n1 long")
@@ -257,14 +258,13 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     folds: int = 5,
-    max_labelled: int = 10_000,
     max_training: int = 6_000,
 ) -> DataFrame:
     """Per row: id, held_out, score, predicted. Labels are read only where the id's crc32 modulo ``folds`` is not 0.
 
-    The lexicon and the start of the label model come from about ``max_labelled`` labelled rows at most and the
-    classifier from the posterior labels of about ``max_training`` of them; votes, rates and correlations
-    cover all documents. Null texts count as empty. Without labels of both classes no term is
+    The lexicon and the start of the label model come from all of them (of equal texts with one label the lexicon counts
+    one), the classifier from the posterior labels of about ``max_training``, as many of each label if there are
+    enough; votes, rates and correlations cover all documents. Null texts count as empty. Without labels of both classes no term is
     found, and the score is near the share of label 1 seen. Repeated rows give repeated rows.
     """
     source = id_and_text(docs, id_col, text_col)
@@ -273,14 +273,28 @@ def toxicity_scores(
         .filter(F.col("label").isin(0, 1) & (crc_remainder("id", folds) != 0))
         .distinct()
     )
-    known = materialize(source.join(bounded_sample(wanted, max_labelled, "id"), "id"), "labelled")
-    lexicon = find_lexicon(known.select("text", "label").distinct())
+    wanted = materialize(wanted, "wanted")
+    # One row (id, h) for each text and label; ``n`` rows of the table are equal to it.
+    hashed = source.withColumn("h", F.xxhash64("text"))
+    named = hashed.select("id", "h").join(wanted, "id").groupBy("id", "h", "label").agg(F.count(F.lit(1)).alias("n"))
+    known = named.groupBy("h", "label").agg(F.min(F.struct("id", "n")).alias("row")).select("h", "label", "row.*")
+    known = materialize(known, "labelled")
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shown = hashed.join(known.filter("n = 1"), ["id", "h"]).select("text", "label")
+    if not is_empty(known.filter("n > 1")):
+        more = hashed.join(known.filter("n > 1"), ["id", "h"]).dropDuplicates(["id", "h", "label"])
+        shown = shown.unionByName(more.select("text", "label"))
+    lexicon = find_lexicon(shown, totals)
     empty = Scorer(lexicon, np.zeros(0))
     votes = materialize(cast_votes(source, empty), "votes")
-    voted = cast_votes(known.select("id", "text"), empty).join(known.select("id", "label").distinct(), "id")
-    model = fit_label_model(votes, voted, empty.voters)
-    sample = bounded_sample(known, max_training, "id").select("text").collect()  # bounded by max_training
-    texts = sorted(r["text"] for r in sample)
+    model = fit_label_model(votes, votes.join(wanted, "id"), empty.voters)
+    texts, left = set(), max_training
+    for at, label in enumerate(sorted(totals, key=totals.get)):  # the rarer label first; what it leaves is the other's
+        bound = left // (len(totals) - at)
+        left -= min(bound, totals[label])
+        drawn = bounded_sample(known.filter(F.col("label") == label), bound, "h").select("id", "h")
+        texts.update(r["text"] for r in hashed.join(drawn, ["id", "h"]).select("text").distinct().collect())  # ``bound``
+    texts = sorted(texts)
     posteriors = model.posterior(np.array([empty.votes(t, terms(t)) for t in texts]).reshape(-1, empty.voters))
     scorer = fit_classifier(list(zip(texts, posteriors.tolist())), lexicon)
 

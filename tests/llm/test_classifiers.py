@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alarmlens.llm import language_id
+from alarmlens.llm import language_id, toxicity
 from alarmlens.llm.quality import FEATURES, quality_scores, statistics
 from alarmlens.llm.toxicity import toxicity_scores
 from alarmlens.llm.url_filter import RULES, host_of, judge, path_of, rule_of
@@ -152,3 +152,24 @@ def test_trees_judge_what_no_rule_fits(spark):
     assert all(r["verdict"] == "allow" for r in got if 130 <= r["page_id"] < 140)
     assert {r["verdict"] for r in judge(pages.filter("page_id >= 130 and page_id < 140")).collect()} == {"allow"}
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_every_label_counts_for_the_lexicon(spark, docs_of, monkeypatch):
+    """Each word that three learnable texts of label 1 hold becomes a voter, in a table where label 1 is rare."""
+    common = [a + b + "ne" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou"]
+    rare = [f"q{a}{b}x" for a in "bcdfghjk" for b in "aeiou"]
+    rng = random.Random(2)
+    rows, labels, shown = [], [], {w: 0 for w in rare}
+    for i in range(20_000):
+        words = rng.sample(common, 6)
+        toxic = int(i % 120 == 0)
+        if toxic:
+            words.append(rare[i // 120 % 40])
+            shown[words[-1]] += not held(i, 5, 0)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic, ""))
+    found = []
+    monkeypatch.setattr(toxicity, "find_lexicon", lambda *a, real=toxicity.find_lexicon: found.append(real(*a)) or found[-1])
+    toxicity_scores(docs_of(rows), spark.createDataFrame(labels, LABELS))
+    telling = {w for w, n in shown.items() if n >= 3}
+    assert len(telling) > 20 and telling <= set(found[0])
