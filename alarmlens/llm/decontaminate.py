@@ -23,6 +23,7 @@ from alarmlens.runtime import materialize
 
 WINDOW = 10
 GRAM = 5
+PLACE_BITS = 30  # no text has more words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -32,28 +33,42 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
 
 
-def _grams(size: int) -> str:
-    """SQL for the hashes of every ``size`` consecutive hashes of ``h``; none if there are fewer."""
-    parts = ", ".join(f"h[i + {k}]" for k in range(size))
-    return f"if(size(h) < {size}, array(), transform(sequence(0, size(h) - {size}), i -> xxhash64({parts})))"
+def _gram(size: int) -> str:
+    """SQL for the hash of the ``size`` consecutive word hashes from place ``i`` of ``h``."""
+    return f"xxhash64({', '.join(f'h[i + {k}]' for k in range(size))})"
 
 
-def _fingerprints(texts: DataFrame, gram: int, window: int) -> DataFrame:
-    """``words`` replaced by ``(at, fp)``: hashes that some window selects, and their first word's place from 0.
+def _fingerprints(texts: DataFrame, gram: int, window: int, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """``words`` replaced by ``(size, own, at, fp)``: hashes of ``own`` words that some window of ``size`` words selects, and
+    their first word's place from 0. A text of fewer than ``window`` words has no fingerprint of that size.
 
-    The leftmost of equal minima is taken, so the choice depends on the window's words alone. A text of
-    fewer than ``window`` words has no fingerprint.
+    Hash and place are one number, hash above, so one minimum gives the leftmost of the smallest hashes and the choice
+    depends on the window's words alone. Of the sizes in ``shorter`` every span is a gram of its own length.
+    All sizes come from one pass over the words.
     """
     kept = [c for c in texts.columns if c != "words"]
-    grams = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("g", F.expr(_grams(gram)))
+    # The barrier keeps the optimizer from moving the splitting of the text into the lambdas below.
+    hashed = texts.select(*kept, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hashed = hashed.select(F.inline(F.array(F.struct(*kept, "h"))))
+    packed = f"shiftleft(shiftrightunsigned({_gram(gram)}, {PLACE_BITS}), {PLACE_BITS}) | i"
+    grams = hashed.withColumn(
+        "g", F.expr(f"if(size(h) < {window}, array(), transform(sequence(0, size(h) - {gram}), i -> {packed}))")
+    )
     width = window - gram + 1
-    if width == 1:
-        return grams.select(*kept, F.posexplode("g").alias("at", "fp"))
-    smallest = f"s + cast(array_position(slice(g, s + 1, {width}), array_min(slice(g, s + 1, {width}))) as int) - 1"
-    places = f"array_distinct(transform(sequence(0, size(g) - {width}), s -> {smallest}))"
-    chosen = grams.withColumn("places", F.expr(f"if(size(g) < {width}, array(), {places})"))
-    found = F.expr("transform(places, p -> struct(p as at, g[p] as fp))")
-    return chosen.select(*kept, F.inline(found))
+    least = f"least({', '.join(f'g[s + {k}]' for k in range(width))})" if width > 1 else "g[s]"
+    smallest = f"array_distinct(transform(sequence(0, size(g) - {width}), s -> {least}))"
+    chosen = grams.withColumn("chosen", F.expr(f"if(size(h) < {window}, array(), {smallest})"))
+    mask = (1 << PLACE_BITS) - 1
+    found = [
+        f"transform(chosen, p -> struct({window} as size, {gram} as own, cast(p & {mask}L as int) as at, "
+        f"shiftrightunsigned(p, {PLACE_BITS}) as fp))"
+    ]
+    found += [
+        f"if(size(h) < {n}, array(), transform(sequence(0, size(h) - {n}), "
+        f"i -> struct({n} as size, {n} as own, i as at, {_gram(n)} as fp)))"
+        for n in shorter
+    ]
+    return chosen.select(*kept, F.inline(F.expr(f"concat({', '.join(found)})")))
 
 
 def _spans(items: DataFrame, window: int) -> DataFrame:
@@ -96,16 +111,12 @@ def contamination(
     )
 
     sizes = [r["size"] for r in spans.select("size").distinct().orderBy("size").collect()]  # at most ``window`` numbers
+    shorter = tuple(n for n in sizes if n < window)
+    fits = F.least(F.lit(window), F.size("words")).alias("fits")
+    keys = _fingerprints(items.withColumn("fits", fits), gram, window, shorter).filter("size = fits")
+    keys = materialize(keys.select("size", "fp").distinct(), "item_prints")
     texts = raw.select("row", "version", words(F.col("text")).alias("words"))
-    places = counted.select("row", "version", *[F.lit(0).alias(c) for c in ("at", "size", "own")]).limit(0)
-    for size in sizes:
-        own = gram if size == window else size
-        fits = F.size("words") >= size if size == window else F.size("words") == size
-        keys = materialize(_fingerprints(items.filter(fits), own, size).select("fp").distinct(), "item_prints")
-        met = _fingerprints(texts, own, size).join(keys, "fp", "left_semi")
-        places = places.unionByName(
-            met.select("row", "version", "at", F.lit(size).alias("size"), F.lit(own).alias("own"))
-        )
+    places = _fingerprints(texts, gram, window, shorter).join(keys, ["size", "fp"], "left_semi")
     of_text = places.groupBy("row", "version").agg(F.collect_set(F.struct("at", "size", "own")).alias("places"))
     of_text = materialize(of_text, "places")
 

@@ -67,3 +67,9 @@ def test_every_span_of_a_window_shares_a_fingerprint(spark):
     for r in _fingerprints(texts, 5, 10).collect():
         found.setdefault(r["i"], set()).add(r["fp"])
     assert set.intersection(*found.values())
+
+
+def test_text_is_split_once_for_all_sizes(spark, docs_of, odd_rows):
+    texts = docs_of(odd_rows).select("doc_id", words(F.col("text")).alias("words"))
+    plan = _fingerprints(texts, 5, 10, (3, 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
