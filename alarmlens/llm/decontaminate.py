@@ -93,10 +93,10 @@ def contamination(
     also text_sha256.
 
     A word is hit if it lies in any occurrence of an item's span. Null and empty texts have no words and
-    are never contaminated; items without words are left out, and an empty benchmark hits nothing. Rows that
+    are never contaminated; items without words are left out, those without an id are one item named None, and an empty benchmark hits nothing. Rows that
     share an id but not their text are judged apart; repeated rows give repeated rows.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("None")).alias("item"), words(F.col(item_text_col)).alias("words"))
     items = materialize(items, "items")
     spans = materialize(_spans(items, window), "item_spans")
     raw = docs.select(
