@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, substring_dedup, toxicity, url_filter
+from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, substring_dedup, token_alignment, toxicity, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,14 @@ def op6_language_id(spark, d):
 @query
 def op9_substring_dedup(spark, d):
     return substring_dedup.deduplicated(table(spark, d, "documents")).drop("spans")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op11_token_alignment(spark, d):
+    return token_alignment.alignments(table(spark, d, "documents"), vocabulary(), piece_model())
