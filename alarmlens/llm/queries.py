@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, quality, secret_ledger, simhash_dedup, substring_dedup, token_alignment, toxicity, url_filter
+from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, prefix_trie, quality, secret_ledger, simhash_dedup, substring_dedup, token_alignment, toxicity, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,51 @@ def piece_model() -> str:
 @query
 def op11_token_alignment(spark, d):
     return token_alignment.alignments(table(spark, d, "documents"), vocabulary(), piece_model())
+
+
+@query
+def op12_prefix_trie(spark, d):
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS mark, strlen(text) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+           list_prepend(4294967295, range(0, 8 * length(digits))),
+           lambda acc, i: CASE WHEN i % 8 = 0 THEN
+               CASE WHEN xor(acc, ascii(digits[i // 8 + 1])) % 2 = 1
+                    THEN xor(xor(acc, ascii(digits[i // 8 + 1])) >> 1, 3988292384)
+                    ELSE xor(acc, ascii(digits[i // 8 + 1])) >> 1 END
+             ELSE CASE WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END END)) % 9 AS h
+  FROM (SELECT conv_id, n, CAST(conv_id AS VARCHAR) AS digits FROM n)),
+c AS (SELECT crc.conv_id, crc.base, crc.h, least(crc.h, coalesce(n.n, 0)) AS taken
+      FROM crc LEFT JOIN n ON n.conv_id = crc.base),
+rebuilt AS (
+  SELECT c.conv_id, t.pos AS depth, mark, size FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, c.taken + t.pos - c.h, mark, size FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+paths AS (
+  SELECT c.conv_id, coalesce(string_agg(mark, '' ORDER BY depth), '') AS path, list(size ORDER BY depth) AS sizes, count(depth) AS len
+  FROM c LEFT JOIN rebuilt USING (conv_id) GROUP BY c.conv_id),
+members AS (SELECT conv_id, len, d, path[1 : 32 * d] AS key, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+            FROM (SELECT *, unnest(range(0, len + 1)) AS d FROM paths)),
+nodes AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len), '') AS ends
+          FROM members GROUP BY d, key),
+kids AS (SELECT key[1 : 32 * (d - 1)] AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT key[1 : 32 * e] AS key, sum((n_convs - 1) * size) AS saved, count(*) FILTER (childless) AS leaves
+  FROM (SELECT nodes.*, kids.key IS NULL AS childless, unnest(range(0, d + 1)) AS e FROM nodes LEFT JOIN kids USING (key))
+  GROUP BY 1)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs,
+       coalesce(kids.n_children, 0) AS n_children, below.leaves AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN below USING (key) LEFT JOIN kids USING (key)
+LEFT JOIN nodes p ON x.d > 0 AND p.key = x.key[1 : 32 * (x.d - 1)]
+"""
