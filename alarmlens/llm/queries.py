@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, prefix_trie, quality, secret_ledger, simhash_dedup, substring_dedup, token_alignment, toxicity, url_filter
+from alarmlens.llm import bpe, decontaminate, exact_dedup, language_id, nn_descent, prefix_trie, quality, secret_ledger, simhash_dedup, substring_dedup, token_alignment, toxicity, url_filter
 from alarmlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,8 @@ SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n
 FROM nodes x JOIN below USING (key) LEFT JOIN kids USING (key)
 LEFT JOIN nodes p ON x.d > 0 AND p.key = x.key[1 : 32 * (x.d - 1)]
 """
+
+
+@query
+def op13_nn_descent(spark, d):
+    return nn_descent.nearest_neighbours(table(spark, d, "embeddings"))
