@@ -13,6 +13,8 @@ sequential by definition, so the work is cut in three ways:
 * A run too long for one chunk is split at block borders. Each part yields a step
   function "end of the last window before me -> end of my last window"; these are
   composed in a tree, which tells each part where it starts.
+* A run with a block that has more messages than ``dense_rows`` is left to ``dense_windows``, where stamps stay rows in
+  narrow slices of time and no task holds a block.
 
 Messages find their window through their block and are never sorted or grouped.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alarmlens.operators.dense_windows import dense_anchors, dense_ends
 from alarmlens.runtime import is_empty, materialize
 
 # Limits and defaults of the windows.
@@ -211,6 +214,7 @@ def _anchor_blocks(
     burst: Burst | None,
     chunk_rows: int,
     fanin: int,
+    dense_rows: int,
 ) -> DataFrame:
     """Per (domain, block): the anchor inside it, if any, and the one open before it."""
     reach = width if burst is None else burst.widened_us(width)
@@ -226,6 +230,9 @@ def _anchor_blocks(
     runs = runs.withColumn("run_rows", F.sum("n").over(whole)).withColumn(
         "run_begin", F.min("rows_before").over(whole)
     )
+    runs = materialize(runs.withColumn("dense", F.max("n").over(whole) > dense_rows), "runs")
+    dense = runs.filter("dense").select("domain", "block", "run")
+    runs = runs.filter("not dense")
     long = F.col("run_rows") > chunk_rows
     # Short runs share a chunk named by a negative number, long runs keep theirs.
     chunks = materialize(
@@ -305,6 +312,11 @@ def _anchor_blocks(
             F.struct("anchor", "until").alias("here"),
         )
     )
+    if not is_empty(dense):
+        crowded = materialize(points.join(dense, ["domain", "block"]), "dense_points")
+        found = dense_anchors(dense_ends(crowded, width, burst), dense)
+        block = F.floor((F.col("anchor") - F.pmod("anchor", F.lit(width))) / width).alias("block")
+        anchors = anchors.unionByName(found.select("domain", block, F.struct("anchor", "until").alias("here")))
     return (
         table.select("domain", "block")
         .join(anchors, ["domain", "block"], "left")
@@ -320,17 +332,19 @@ def anchored_windows(
     burst: Burst | None = None,
     chunk_rows: int = CHUNK_ROWS,
     fanin: int = TREE_FANIN,
+    dense_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Attach ``window_start`` and ``window_end`` of the anchored window of each message.
 
     With ``burst`` the window of an anchor is widened once when a poll sees enough
-    recent messages. Rows without a time in ``time_col`` are left out. ``messages`` is
+    recent messages. Groups hold the stamps of about ``chunk_rows`` messages; runs with more than ``dense_rows`` in one
+    block are solved slice by slice. Rows without a time in ``time_col`` are left out. ``messages`` is
     read more than once: store it first when it is costly to compute.
     """
     check_window_sec(window_sec)
     width = int(window_sec * _US)
     timed = messages.filter(F.col(time_col).isNotNull())
-    table = materialize(_anchor_blocks(timed, time_col, width, burst, chunk_rows, fanin), "anchors")
+    table = materialize(_anchor_blocks(timed, time_col, width, burst, chunk_rows, fanin, dense_rows), "anchors")
     in_here = F.unix_micros(time_col) >= F.col("here.anchor")
     window = F.when(in_here, F.col("here")).otherwise(F.col("open"))
     return (

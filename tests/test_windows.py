@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlens.operators.dense_windows import SLICE_US
 from alarmlens.operators.windows import (
     Burst,
     anchored_windows,
@@ -71,6 +72,40 @@ def test_random_windows_match_the_model(spark, chunk_rows, fanin):
         assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("burst", [None, Burst(3.0, 4, 2.5, 18), Burst(10.0, 6, 2.0, 30)])
+def test_dense_runs_match_the_model(spark, burst):
+    """Every run counts as dense, so stamps are solved slice by slice; lone stamps and pauses over several blocks included."""
+    rng = random.Random(8)
+    rows, stamps = [], {}
+    for d in ("even", "mixed", "lone"):
+        t, stamps[d] = 1_700_000_000_000_000, []
+        for _ in range(90 if d != "lone" else 1):
+            t += int(rng.choice({"even": [1], "mixed": [0, 0.03, 0.5, 3, 9, 10, 11, 25], "lone": [1]}[d]) * 1e6)
+            stamps[d].append(t)
+            rows.append((d, len(rows), t))
+    frame = spark.createDataFrame(rows, "domain string, seq bigint, us bigint").withColumn("received_at", F.timestamp_micros("us"))
+    got = anchored_windows(frame, 10, burst=burst, dense_rows=0)
+    want = {d: model_windows(stamps[d], 10_000_000, burst) for d in stamps}
+    found = got.select("domain", "us", F.unix_micros("window_start").alias("a"), F.unix_micros("window_end").alias("e")).collect()
+    assert len(found) == len(rows)
+    assert all((r.a, r.e) == want[r.domain][r.us] for r in found)
+
+
+def test_block_of_a_million_stamps(spark, monkeypatch):
+    """One block has a million distinct stamps; no Python group gets any of them, and no ordered group is larger than a slice."""
+    from alarmlens.operators import windows
+
+    largest = []
+    monkeypatch.setattr(windows, "_chunk_anchors", lambda pdf, *_: largest.append(len(pdf)) or pdf.iloc[:0])
+    us = F.lit(1_700_000_000_000_000) + F.col("id") * 11
+    frame = spark.range(1_000_000).select(F.lit("d").alias("domain"), F.col("id").alias("seq"), F.timestamp_micros(us).alias("received_at"))
+    got = anchored_windows(frame, 10, dense_rows=100_000).groupBy(F.unix_micros("window_start").alias("a")).count().orderBy("a").collect()
+    inside = 10_000_000 // 11 + 1  # the end of a window belongs to it
+    assert [(r.a - 1_700_000_000_000_000, r["count"]) for r in got] == [(0, inside), (inside * 11, 1_000_000 - inside)]
+    slices = frame.groupBy(F.floor(F.unix_micros("received_at") / SLICE_US)).count().agg(F.max("count")).first()[0]
+    assert slices <= SLICE_US and not largest
+
+
 def test_session_example(spark):
     got = session_windows(_frame(spark, [0, 30, 61, 61.5]), 30).groupBy("window_start", "window_end").count()
     assert [(r.window_start, r.window_end, r["count"]) for r in got.orderBy("window_start").collect()] == [
