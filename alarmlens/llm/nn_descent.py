@@ -27,11 +27,11 @@ from alarmlens.runtime import is_empty, materialize
 DEGREE = 24
 REVERSE = 24
 OFFERS = 4
-ROUNDS = 5
+ROUNDS = 4
 TREES = 4
 LEAF = 256
 BEAM = 320
-STEP = 80
+STEP = 160
 CUT_SAMPLE = 2_000
 _OWNERS = 256  # nodes whose gathered vectors are multiplied in one call
 
@@ -212,8 +212,7 @@ def neighbour_graph(
         worst = F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"])
         known = halves.join(graph.select("node", worst.alias("worst")), "node", "left")
         items = known.select(F.col("node").alias("item"), "half", "scale", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        links = materialize(_links(graph, reverse, nth), "links")
-        gathered = links.join(items, "item").groupBy("node").agg(F.collect_list(F.struct("item", "worst", "half", "scale")).alias("members"))
+        gathered = _links(graph, reverse, nth).join(items, "item").groupBy("node").agg(F.collect_list(F.struct("item", "worst", "half", "scale")).alias("members"))
         better = _offers(gathered, offers)
         kept = graph.select(F.col("node").alias("u"), F.explode("near").alias("near")).select("u", "near.v", "near.d")
         graph = materialize(_best(better.unionByName(kept), degree), "graph")
