@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many patterns become one native predicate inside the scan stage;
-# a larger list is joined in slices of the second bound, each small enough to broadcast.
+from alarmlens.runtime import materialize
+
+# Up to this many patterns become one native predicate inside the scan stage; a larger list goes through a gram index.
 _INLINE_PATTERNS = 64
-_PATTERN_SLICE = 5000
+GRAM = 6
 
 
 def drop_ignored(messages: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -18,12 +19,43 @@ def drop_ignored(messages: DataFrame, patterns: DataFrame) -> DataFrame:
         return messages
     if len(head) <= _INLINE_PATTERNS:
         return messages.filter(~_contains_any(F.col("message"), head))
-    slices = -(-wanted.count() // _PATTERN_SLICE)
-    kept = messages
-    for i in range(slices):
-        part = wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == i)
-        kept = kept.join(part, F.contains(kept["message"], part["pattern"]), "left_anti")
-    return kept
+    return messages.join(texts_with_pattern(messages.select("message"), wanted), "message", "left_anti")
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        every = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    held = [of_size(n) for n in sizes]
+    return F.array_distinct(F.concat(*held))
+
+
+def texts_with_pattern(texts: DataFrame, patterns: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Distinct ``message`` values of ``texts`` that contain a ``pattern``, for lists of any length.
+
+    Each pattern is looked for at its gram that the fewest texts hold, by an equality join; only texts with that gram
+    are compared with the pattern. A pattern with a gram that no text holds is out at once. Patterns shorter
+    than a gram are grams of their own length. Both sides meet by key, so neither has to fit into a task.
+    """
+    wanted = patterns.select("pattern", F.least(F.length("pattern"), F.lit(gram)).alias("size"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # ``gram`` numbers at most
+    keys = materialize(
+        wanted.select("pattern", F.explode(_grams(F.col("pattern"), sizes)).alias("gram"), "size").filter(F.length("gram") == F.col("size")),
+        "pattern_grams",
+    )
+    held = texts.filter(F.col("message").isNotNull()).distinct()
+    held = materialize(held.select("message", F.explode(_grams(F.col("message"), sizes)).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi"), "text_grams")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    weighed = keys.join(counts, "gram", "left").groupBy("pattern").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rarest")
+    )
+    chosen = weighed.filter("rarest.texts > 0").select("pattern", F.col("rarest.gram").alias("gram"))
+    met = held.join(chosen, "gram").filter(F.contains(F.col("message"), F.col("pattern")))
+    return met.select("message").distinct()
 
 
 def _contains_any(text: Column, patterns: list[str]) -> Column:

@@ -7,12 +7,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.operators.ranking import first_per_group
+from alarmlens.runtime import materialize
 
 BLOCK_ROWS = 4096
+PIVOTS = 64
+PIVOT_SAMPLE = 4096
 
 
-def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+def _pivots(corpus: DataFrame, count: int) -> np.ndarray:
+    """Vectors far from one another, out of a bounded sample of the corpus: each next one is the farthest from those before."""
+    total = corpus.count()
+    place = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000))
+    sample = corpus if total <= PIVOT_SAMPLE else corpus.filter(place < int(1_000_000 * PIVOT_SAMPLE / total))
+    rows = [r["vector"] for r in sample.orderBy("id").limit(2 * PIVOT_SAMPLE).select("vector").collect()]
+    if not rows:
+        return np.zeros((0, 0))
+    known = np.array(rows)
+    chosen = [0]
+    least = ((known - known[0]) ** 2).sum(1)
+    while len(chosen) < min(count, len(known)) and least.max() > 0:
+        chosen.append(int(least.argmax()))
+        least = np.minimum(least, ((known - known[chosen[-1]]) ** 2).sum(1))
+    return known[chosen]
+
+
+def _in_cells(rows: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
+    """``(id, vector, cell, far)``: the nearest pivot and the distance to it."""
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["vector"].to_numpy())
+                near = np.empty(len(v), np.int64)
+                far = np.empty(len(v))
+                for at in range(0, len(v), 256):
+                    d = np.sqrt(((v[at : at + 256, None] - pivots[None]) ** 2).sum(2))
+                    near[at : at + 256] = d.argmin(1)
+                    far[at : at + 256] = d.min(1)
+                yield pdf.assign(cell=near, far=far)
+
+    return rows.select("id", "vector").mapInPandas(assign, f"id {kind}, vector array<double>, cell bigint, far double")
+
+
+def cell_pairs(queries: DataFrame, corpus: DataFrame, pivots: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Pairs of a query cell and a corpus cell that can hold one of the ``k`` nearest; all others are too far by the triangle
+    inequality.
+
+    In a query cell every query has ``k`` other corpus rows within the smallest bound that cells with that many rows
+    reach; a corpus cell that lies beyond it as a whole is left out. The tables have one row per pivot.
+    """
+    radius = {r["cell"]: r["r"] for r in queries.groupBy("cell").agg(F.max("far").alias("r")).collect()}
+    sizes = {r["cell"]: (r["r"], r["n"]) for r in corpus.groupBy("cell").agg(F.max("far").alias("r"), F.count("*").alias("n")).collect()}
+    pairs = []
+    for own, reach in radius.items():
+        gap = {c: float(np.sqrt(((pivots[own] - pivots[c]) ** 2).sum())) for c in sizes}
+        enough, limit = 0, np.inf
+        for upper, n in sorted((gap[c] + reach + r, n) for c, (r, n) in sizes.items()):
+            enough += n
+            if enough > k:  # one of them may be the query itself
+                limit = upper
+                break
+        slack = 1e-9 * (1 + (limit if np.isfinite(limit) else 0))
+        pairs += [(own, c) for c, (r, _) in sizes.items() if gap[c] - reach - r <= limit + slack]
+    return pairs
 
 
 def nearest(
@@ -23,26 +80,39 @@ def nearest(
     id_col: str = "id",
     vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows (Euclidean) of each query, itself excluded.
 
-    Queries and corpus are cut into blocks of bounded size. Each pair of blocks is one
-    small matrix product that keeps ``k`` rows per query, so what reaches the final
-    ranking is ``k`` rows per query and corpus block, never all pairs. The work is
-    queries times corpus, meant for work-lists that are small against the corpus.
+    Rows are dealt to the cells of their nearest pivots, cells are cut into blocks of bounded size, and only blocks of cell pairs that
+    the triangle inequality can't rule out meet (``cell_pairs``). Each such pair is one matrix product that keeps
+    ``k`` rows per query, so what reaches the final ranking is ``k`` rows per query and block met, never all pairs. Vectors without any
+    structure rule nothing out; then the work is queries times corpus.
     """
-    n_query, n_corpus = _blocks(queries, block_rows), _blocks(corpus, block_rows)
-
-    def side(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(
-            F.col(id_col).alias("id"),
-            F.col(vector_col).cast("array<double>").alias("vector"),
-            F.pmod(F.xxhash64(id_col), F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))).alias(other),
-        )
+    kind = queries.schema[id_col].dataType.simpleString()
+
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
-    left = side(queries, "qb", n_query, "cb", n_corpus)
-    right = side(corpus, "cb", n_corpus, "qb", n_query)
+    spark = queries.sparkSession
+    centres = _pivots(plain(corpus), pivots)
+    if not len(centres):
+        return spark.createDataFrame([], f"query_id {kind}, neighbor_id {kind}, distance double, rank int")
+    q_cells = materialize(_in_cells(plain(queries), centres, kind), "query_cells")
+    c_cells = materialize(_in_cells(plain(corpus), centres, kind), "corpus_cells")
+    pairs = cell_pairs(q_cells, c_cells, centres, k)
+    blocks = {}
+    for name, cells in (("q", q_cells), ("c", c_cells)):
+        counts = cells.groupBy("cell").count().collect()  # one row per pivot
+        blocks[name] = {r["cell"]: max(1, -(-r["count"] // block_rows)) for r in counts}
+    def side(cells: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows with the names of all block pairs in which their block takes part."""
+        place = 0 if own == "q" else 1
+        rows = [(p[place], blocks[own][p[place]], p[1 - place], blocks[other][p[1 - place]]) for p in pairs]  # cells, not rows
+        met = spark.createDataFrame(rows, f"cell bigint, n_own bigint, {other} bigint, n_other bigint")
+        joined = cells.join(met, "cell").withColumn(f"{own}b", F.pmod(F.xxhash64("id"), F.col("n_own")))
+        numbered = joined.withColumn(f"{other}b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_other") - 1)))
+        return numbered.select(F.col("cell").alias(own), f"{own}b", other, f"{other}b", "id", "vector")
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
@@ -62,10 +132,10 @@ def nearest(
         )
         return out[np.isfinite(out["distance"])]
 
-    kind = queries.schema[id_col].dataType.simpleString()
     found = (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
+        side(q_cells, "q", "c")
+        .groupBy("q", "qb", "c", "cb")
+        .cogroup(side(c_cells, "c", "q").groupBy("q", "qb", "c", "cb"))
         .applyInPandas(best, f"query_id {kind}, neighbor_id {kind}, distance double")
     )
     return first_per_group(found, ["query_id"], ["distance", "neighbor_id"], k)
