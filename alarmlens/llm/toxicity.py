@@ -7,7 +7,8 @@ voters that agree share their evidence. Its posterior labels train a linear clas
 beginnings and votes, which scores every text.
 
 Labels are used to find the lexicon and to start the label model, and all learnable labels count; what a voter is worth
-comes from all documents. The lexicon holds LEXICON terms at most.
+comes from all documents. Every term is a voter that passes a test for a false-discovery level; of labelled near copies (five-word
+shingles) one counts, so that chance words of a much copied text don't look telling.
 """
 from __future__ import annotations
 
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.llm.tables import bounded_sample, crc_remainder, id_and_text, in_slices, summed
-from alarmlens.runtime import is_empty, materialize
+from alarmlens.runtime import materialize
 
-LEXICON = 48
+FALSE_DISCOVERIES = 1e-3
+LABEL_BITS = 18  # words of 64 bits in the filter that keeps unlabelled texts from moving
 BEGINNINGS = (4, 5, 6)
 DIMENSIONS = 1 << 14
 PATTERNS = 5
@@ -106,9 +108,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def find_lexicon(known: DataFrame, totals: dict[int, int], size: int = LEXICON, least_share: float = 0.004) -> dict[str, int]:
-    """Terms that tell the classes apart best in ``(text, label)``: by log ratio of document shares times support.
-    ``totals``: rows per label."""
+def find_lexicon(known: DataFrame, totals: dict[int, int], level: float = FALSE_DISCOVERIES) -> dict[str, int]:
+    """Terms of ``(text, label)`` that stand in more texts of label 1 than chance allows. ``totals``: rows per label.
+
+    A term's p-value is bounded by Chernoff: texts that hold it, times the divergence between their share of label 1 and the
+    share among all. Benjamini and Hochberg's rule over all terms keeps the share of chance terms below ``level``. Of a word and
+    its beginnings, which say the same thing, the most telling one stays.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -130,57 +136,112 @@ def find_lexicon(known: DataFrame, totals: dict[int, int], size: int = LEXICON,
     if len(totals) < 2:
         return {}
     counted = known.select("text", "label").mapInArrow(count, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    one, zero = (F.col("n1") + 0.5) / totals[1], (F.col("n0") + 0.5) / totals[0]
-    worth = F.log(one / zero) * F.sqrt("n1")
-    best = counted.filter((F.col("n1") >= max(3, least_share * totals[1])) & (one > 4 * zero)).withColumn("worth", worth)
-    # One term of each family: a word and its beginnings say the same thing.
+    counted = materialize(counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "terms")
+    tests = counted.count()
+    base = totals[1] / (totals[0] + totals[1])
+    n, share = F.col("n0") + F.col("n1"), F.col("n1") / (F.col("n0") + F.col("n1"))
+    against = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    bound = -n * (share * F.log(share / base) + against)
+    likely = counted.filter((F.col("n1") > 0) & (share > base)).withColumn("log_p", bound).filter(F.col("log_p") <= float(np.log(level)))
+    rows = likely.orderBy("log_p", "term").collect()  # terms that may pass: a matter of the vocabulary, not of the rows
+    passed = 0
+    for k, row in enumerate(rows, 1):
+        if row["log_p"] <= np.log(level * k / tests):
+            passed = k
     chosen: list[str] = []
-    for row in best.orderBy(F.desc("worth"), "term").limit(20 * size).collect():  # set by the size of the lexicon
+    kept: set[str] = set()
+    prefixes: set[str] = set()
+    for row in rows[:passed]:
         stem = row["term"].rstrip("*")
-        if len(chosen) < size and not any(stem.startswith(c) or c.startswith(stem) for c in (t.rstrip("*") for t in chosen)):
+        if stem not in prefixes and not any(stem[:i] in kept for i in range(1, len(stem) + 1)):
             chosen.append(row["term"])
+            kept.add(stem)
+            prefixes.update(stem[:i] for i in range(1, len(stem) + 1))
     return {term: i for i, term in enumerate(sorted(chosen))}
 
 
+def shingle_key(text: str, size: int = 5) -> int:
+    """Smallest hash of the text's five-word shingles: near copies share it about as often as they share shingles."""
+    words = text.lower().split()
+    if len(words) <= size:
+        return zlib.crc32(" ".join(words).encode("utf-8", "replace"))
+    own = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+    h = np.array(own, np.uint64)
+    mixed = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return int(mixed.min() >> np.uint64(1))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``(id, h, near)`` of ``(id, h, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            near = pa.array([shingle_key(t) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], names=["id", "h", "near"])
+
+    return rows.select("id", "h", "text").mapInArrow(run, "id long, h long, near long")
+
+
+def _may_be_in(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows whose key may be among ``keys``, by a filter of at most 2^LABEL_BITS words, which is what is broadcast. A fuller
+    filter lets more rows pass, never fewer than are wanted."""
+    parts = [F.expr(f"shiftrightunsigned(_key, {64 - LABEL_BITS})").alias("_word"), F.expr("shiftleft(1L, cast(_key & 63 as int))").alias("_bit")]
+    words = keys.select(F.xxhash64(*names).alias("_key")).select(*parts).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_key", F.xxhash64(*names)).select(*rows.columns, *parts)
+    met = marked.join(F.broadcast(materialize(words, "label_words")), "_word")
+    return met.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def cast_votes(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """``(id, votes)`` with the voters that fired as the bits of a long."""
+    """``(id, votes)`` with the voters that fired, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = 1 << np.arange(scorer.voters, dtype=np.int64)
         for batch in in_slices(batches):
-            masks = [int((scorer.votes(t, terms(t)).astype(np.int64) * bits).sum()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64())], names=["id", "votes"])
+            fired = [np.flatnonzero(scorer.votes(t, terms(t))).astype(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fired, pa.list_(pa.int32()))], names=["id", "votes"])
 
-    return docs.mapInArrow(run, "id long, votes long")
+    return docs.mapInArrow(run, "id long, votes array<int>")
 
 
-def _unpack(masks: np.ndarray, voters: int) -> np.ndarray:
-    return (masks[:, None] >> np.arange(voters) & 1).astype(np.float64)
+def _unpack(votes: pa.Array, voters: int) -> np.ndarray:
+    fired = np.zeros((len(votes), voters))
+    rows = np.repeat(np.arange(len(votes)), np.asarray(votes.value_lengths()))
+    fired[rows, votes.flatten().to_numpy()] = 1
+    return fired
 
 
 def _expectations(votes: DataFrame, model: LabelModel) -> np.ndarray:
     """[2, voters + 1, voters + 1] weighted counts per class of pairs of voters; the last voter always fires."""
     voters = len(model.correlation)
     side = voters + 1
+    upper = np.triu_indices(side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, side, side))
-        for batch in batches:
+        for batch in in_slices(batches):
             if not batch.num_rows:
                 continue
-            fired = _unpack(batch.column(0).to_numpy(), voters)
+            fired = _unpack(batch.column(0), voters)
             weight = batch.column(1).to_numpy().astype(np.float64)
             p = model.posterior(fired)
             full = np.hstack([fired, np.ones((len(fired), 1))])
             for label, share in enumerate((1 - p, p)):
                 total[label] += (full * (share * weight)[:, None]).T @ full
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["place", "value"]
-        )
+        values = np.concatenate([t[upper] for t in total])
+        met = np.flatnonzero(values)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(values[met])], names=["place", "value"])
 
     found = summed(votes.select("votes", "n").mapInArrow(run, "place int, value double"))
-    return np.array([found.get(i, 0.0) for i in range(2 * side * side)]).reshape(2, side, side)
+    values = np.zeros(2 * len(upper[0]))
+    values[list(found.keys())] = list(found.values())
+    total = np.zeros((2, side, side))
+    for label, own in enumerate(np.split(values, 2)):
+        total[label][upper] = own
+        total[label] += np.triu(total[label], 1).T
+    return total
 
 
 def _correlations(pairs: np.ndarray, least: float = 20) -> np.ndarray:
@@ -204,11 +265,12 @@ def fit_label_model(votes: DataFrame, known: DataFrame, voters: int, rounds: int
     Each round is one pass over the distinct vote patterns with their counts. The rates stay tied to
     the labelled start by as many imaginary rows as it had, so the classes cannot change places.
     """
-    start = {r["label"]: r for r in known.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"shiftright(votes, {j}) & 1")).alias(f"v{j}") for j in range(voters)]
-    ).collect()}
-    n = np.array([start[k]["n"] if k in start else 0 for k in (0, 1)], float)
-    fired = np.array([[start[k][f"v{j}"] if k in start else 0 for j in range(voters)] for k in (0, 1)], float)
+    known = materialize(known.select("label", "votes"), "labelled_votes")
+    rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = np.array([rows.get(k, 0) for k in (0, 1)], float)
+    fired = np.zeros((2, voters))
+    for r in known.select("label", F.explode("votes").alias("voter")).groupBy("label", "voter").agg(F.count(F.lit(1)).alias("n")).collect():
+        fired[r["label"], r["voter"]] = r["n"]
     tied = (fired + 0.5) / (n[:, None] + 1)
     model = LabelModel(tied, np.zeros((voters, voters)), float((n[1] + 1) / (n.sum() + 2)))
     weight = np.maximum(n, 1)
@@ -262,10 +324,11 @@ def toxicity_scores(
 ) -> DataFrame:
     """Per row: id, held_out, score, predicted. Labels are read only where the id's crc32 modulo ``folds`` is not 0.
 
-    The lexicon and the start of the label model come from all of them (of equal texts with one label the lexicon counts
+    The lexicon and the start of the label model come from all of them (of near copies with one label the lexicon counts
     one), the classifier from the posterior labels of about ``max_training``, as many of each label if there are
     enough; votes, rates and correlations cover all documents. Null texts count as empty. Without labels of both classes no term is
-    found, and the score is near the share of label 1 seen. Repeated rows give repeated rows.
+    found, and the score is near the share of label 1 seen. Very long texts are scored whole; repeated rows give repeated rows.
+    Terms with equal p-values are taken in the order of their names.
     """
     source = id_and_text(docs, id_col, text_col)
     wanted = (
@@ -274,16 +337,17 @@ def toxicity_scores(
         .distinct()
     )
     wanted = materialize(wanted, "wanted")
-    # One row (id, h) for each text and label; ``n`` rows of the table are equal to it.
+    # One row (id, h) for each text and label, of near copies one; ``n`` rows of the table are equal to it. Texts move once,
+    # labelled ones alone, and by key whatever their number.
     hashed = source.withColumn("h", F.xxhash64("text"))
-    named = hashed.select("id", "h").join(wanted, "id").groupBy("id", "h", "label").agg(F.count(F.lit(1)).alias("n"))
-    known = named.groupBy("h", "label").agg(F.min(F.struct("id", "n")).alias("row")).select("h", "label", "row.*")
+    named = _keyed(_may_be_in(hashed, wanted, "id")).join(wanted.hint("merge"), "id")
+    named = named.groupBy("id", "h", "near", "label").agg(F.count(F.lit(1)).alias("n"))
+    known = named.groupBy("near", "label").agg(F.min(F.struct("id", "h", "n")).alias("row")).select("label", "row.*")
     known = materialize(known, "labelled")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shown = hashed.join(known.filter("n = 1"), ["id", "h"]).select("text", "label")
-    if not is_empty(known.filter("n > 1")):
-        more = hashed.join(known.filter("n > 1"), ["id", "h"]).dropDuplicates(["id", "h", "label"])
-        shown = shown.unionByName(more.select("text", "label"))
+    moved = _may_be_in(hashed, known, "id", "h").join(known.hint("merge"), ["id", "h"])
+    moved = materialize(moved.select("id", "h", "text", "label", "n"), "labelled_texts")
+    shown = moved.filter("n = 1").unionByName(moved.filter("n > 1").dropDuplicates(["id", "h", "label"]))
     lexicon = find_lexicon(shown, totals)
     empty = Scorer(lexicon, np.zeros(0))
     votes = materialize(cast_votes(source, empty), "votes")
@@ -292,8 +356,8 @@ def toxicity_scores(
     for at, label in enumerate(sorted(totals, key=totals.get)):  # the rarer label first; what it leaves is the other's
         bound = left // (len(totals) - at)
         left -= min(bound, totals[label])
-        drawn = bounded_sample(known.filter(F.col("label") == label), bound, "h").select("id", "h")
-        texts.update(r["text"] for r in hashed.join(drawn, ["id", "h"]).select("text").distinct().collect())  # ``bound``
+        drawn = bounded_sample(moved.filter(F.col("label") == label), bound, "h")
+        texts.update(r["text"] for r in drawn.select("text").distinct().collect())  # ``bound``
     texts = sorted(texts)
     posteriors = model.posterior(np.array([empty.votes(t, terms(t)) for t in texts]).reshape(-1, empty.voters))
     scorer = fit_classifier(list(zip(texts, posteriors.tolist())), lexicon)
