@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_DIRS: dict[str, str] = {}
 _RUN_ID = uuid.uuid4().hex[:12]
 _SHIPPED: set[str] = set()
+_TABLES: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "alarmlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -75,6 +76,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of everything this process leaves in the shared folder; ``release`` deletes it."""
+    return f"{shared_dir(spark)}/alarmlens-{_RUN_ID}"
+
+
+def own_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Name and path of a catalog table that ``release`` drops."""
+    named = f"{name}_{uuid.uuid4().hex[:12]}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(named)
+    return named, f"{run_dir(spark)}/{named}"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -82,15 +95,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     real file sizes, so that only sides of a checked size get broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/alarmlens-{_RUN_ID}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables this process wrote to the shared folder."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/alarmlens-{_RUN_ID}")
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
