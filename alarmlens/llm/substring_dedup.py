@@ -18,7 +18,6 @@ Rows are places and contexts, never pairs of texts; each step writes to the shar
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from alarmlens.llm.suffix_order import suffix_array
 from alarmlens.llm.tables import id_and_text
 from alarmlens.operators.ranking import global_row_number
-from alarmlens.runtime import is_empty, materialize, shared_dir
+from alarmlens.runtime import is_empty, materialize, own_table
 
 LENGTH = 100
 GRAM = 32
@@ -114,49 +113,53 @@ def _contents(joined: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, contents, codes, rels = [], [], [], []
-            for number, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column(2)
+            flat = lists.flatten()
+            g, code, rel, width = (flat.field(c) for c in ("g", "code", "rel", "width"))
+            sizes = np.asarray(lists.value_lengths())
+            start = code.to_numpy() - np.repeat(batch.column(0).to_numpy() << PLACE_BITS, sizes)
+            stop = start + width.to_numpy() + length
+            edges = np.append(0, np.cumsum(sizes)).tolist()
+            contents: list[bytes] = []
+            for text, first, last in zip(batch.column(1).to_pylist(), edges, edges[1:]):
                 raw = text.encode("utf-8")
-                for p in places:
-                    at = p["code"] - (number << PLACE_BITS)
-                    g.append(p["g"])
-                    contents.append(raw[at : at + p["width"] + length])
-                    codes.append(p["code"])
-                    rels.append(p["rel"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int64()), pa.array(contents, pa.binary()), pa.array(codes, pa.int64()), pa.array(rels, pa.int32())],
-                names=["g", "content", "code", "rel"],
-            )
+                contents += [raw[x:y] for x, y in zip(start[first:last].tolist(), stop[first:last].tolist())]
+            yield pa.RecordBatch.from_arrays([g, pa.array(contents, pa.binary()), code, rel], names=["g", "content", "code", "rel"])
 
     return joined.select("number", "text", "places").mapInArrow(run, "g long, content binary, code long, rel int")
 
 
-def _repeats_in(block: list[tuple[int, bytes, int, int]], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _bytes_of(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of binary cells in a row, and their sizes."""
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _repeats_in(block: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(code, windows) of runs of repeated windows among different contexts ``(g, content, code, rel)``.
 
     Every window holds its context's anchor, which is the same for all contexts of one ``g``, so the anchor
     stands as one symbol of its own in the text that is sorted.
     """
-    sizes = np.array([len(content) for _, content, _, _ in block])
-    raw = np.frombuffer(b"".join(content for _, content, _, _ in block), np.uint8)
+    raw, sizes = _bytes_of(block.column(1))
     raw_starts = np.cumsum(sizes) - sizes
-    rel = np.array([r for _, _, _, r in block], np.int64)
-    _, symbol = np.unique(np.array([g for g, _, _, _ in block], np.int64), return_inverse=True)
-    owner_of_byte = np.repeat(np.arange(len(block)), sizes)
+    first_code, rel = block.column(2).to_numpy(), block.column(3).to_numpy().astype(np.int64)
+    _, symbol = np.unique(block.column(0).to_numpy(), return_inverse=True)
+    owner_of_byte = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(raw)) - (raw_starts + rel)[owner_of_byte]
     wide = raw.astype(np.int64) + 1
     wide[raw_starts + rel] = 257 + symbol
     kept = (inside <= 0) | (inside >= gram)
     short = sizes - (gram - 1)
     starts = np.cumsum(short + 1) - short - 1
-    text = np.zeros(int(short.sum()) + len(block), np.int64)  # 0 ends a context
+    text = np.zeros(int(short.sum()) + len(sizes), np.int64)  # 0 ends a context
     places = np.ones(len(text), bool)
     places[starts + short] = False
     text[places] = wide[kept]
-    owner = np.repeat(np.arange(len(block)), sizes - length + 1)
+    owner = np.repeat(np.arange(len(sizes)), sizes - length + 1)
     nth = np.arange(len(owner)) - (np.cumsum(sizes - length + 1) - (sizes - length + 1))[owner]
     codes = np.full(len(text), -1, np.int64)
-    codes[starts[owner] + nth] = np.array([code for _, _, code, _ in block], np.int64)[owner] + nth
+    codes[starts[owner] + nth] = first_code[owner] + nth
     raw_place = np.zeros(len(text), np.int64)
     raw_place[starts[owner] + nth] = raw_starts[owner] + nth
     order = suffix_array(text)
@@ -181,23 +184,31 @@ def _sorted_repeats(groups: DataFrame, length: int, gram: int) -> DataFrame:
     """``(code, windows)`` of repeats between different contexts with one ``g``. Groups are whole within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(4)))
-
-        def solved(block):
-            code, windows = _repeats_in(block, length, gram)
+        def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            code, windows = _repeats_in(whole, length, gram)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(windows.astype(np.int64))], names=["code", "windows"])
 
-        block: list[tuple[int, bytes, int, int]] = []
+        block: list[pa.RecordBatch] = []
         held, key = 0, None
-        for g, content, code, rel in rows():
-            if g != key and held > SORTED_BYTES:
-                yield solved(block)
-                block, held = [], 0
-            key = g
-            block.append((g, content, code, rel))
-            held += len(content)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, (_, sizes) = batch.column(0).to_numpy(), _bytes_of(batch.column(1))
+            upto = np.cumsum(sizes)
+            starts = (np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()
+            if key is not None and g[0] != key:
+                starts.insert(0, 0)
+            at = 0
+            for start in starts:  # a block ends where a group does, once it holds enough
+                if held + int(upto[start - 1] if start else 0) - int(upto[at - 1] if at else 0) > SORTED_BYTES:
+                    if start > at:
+                        block.append(batch.slice(at, start - at))
+                    yield solved(block)
+                    block, held, at = [], 0, start
+            block.append(batch.slice(at))
+            held += int(upto[-1]) - int(upto[at - 1] if at else 0)
+            key = g[-1]
         if block:
             yield solved(block)
 
@@ -210,23 +221,24 @@ def _divided(groups: DataFrame, step: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, bytes, int, int]] = []
+            keys, contents, codes, rels = [], [], [], []
             for g, content, code, rel in zip(*(c.to_pylist() for c in batch.columns)):
                 windows = len(content) - length + 1
+                tail = b"/%d/" % g
                 first = 0
                 while first < windows:
                     block = (rel - first) // step
-                    last = min(windows - 1, rel - block * step)  # windows with rel - w in [block * step, (block + 1) * step)
                     core = rel - block * step
-                    key = content[core : core + length - step + 1] + f"/{g}/{block}".encode()
-                    signed = xxhash.xxh64_intdigest(key) - (1 << 63)
-                    out.append((signed, content[first : last + length], code + first, rel - first))
+                    last = min(windows - 1, core)  # windows with rel - w in [block * step, (block + 1) * step)
+                    key = content[core : core + length - step + 1] + tail + b"%d" % block
+                    keys.append(xxhash.xxh64_intdigest(key) - (1 << 63))
+                    contents.append(content[first : last + length])
+                    codes.append(code + first)
+                    rels.append(rel - first)
                     first = last + 1
-            columns = list(zip(*out)) if out else [[], [], [], []]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["g", "content", "code", "rel"]
-            )
+            columns = (keys, contents, codes, rels)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["g", "content", "code", "rel"])
 
     return groups.select("g", "content", "code", "rel").mapInArrow(run, "g long, content binary, code long, rel int")
 
@@ -295,9 +307,9 @@ def deduplicated(
 
     # One row per different text, in buckets by its digest: later joins on it leave the texts where they are.
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"distinct_texts_{uuid.uuid4().hex[:12]}"
+    name, path = own_table(spark, "distinct_texts")
     distinct = source.groupBy("sha").agg(F.first("text").alias("text")).join(numbered.select("sha", "number"), "sha")
-    distinct.write.bucketBy(buckets, "sha").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    distinct.write.bucketBy(buckets, "sha").option("path", path).saveAsTable(name)
     texts = spark.table(name)
 
     anchors = _anchors(texts, length, gram)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from alarmlens.llm.substring_dedup import LENGTH, contexts, deduplicated
+from alarmlens.llm.substring_dedup import BLOCK, LENGTH, contexts, deduplicated
 from alarmlens.llm.suffix_order import suffix_array
 
 
@@ -72,3 +72,13 @@ def test_null_and_repeated_ids_and_no_rows(docs_of):
     n = len(text.encode())
     assert got == sorted(map(str, [(5, n, 0, 0), (5, n, 0, 0), (None, n, n, 1), (3, 5, 0, 0), (None, 0, 0, 0)]))
     assert deduplicated(docs_of([])).count() == 0
+
+
+def test_text_beyond_one_block(spark, docs_of):
+    """A text is hashed in stretches of BLOCK bytes; passages that lie across the seam, and on either side of it, repeat."""
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefghij", k=BLOCK + 150_000))
+    passage = base[BLOCK - 160 : BLOCK + 190]
+    rows = [(1, base), (2, "short " + passage + " end"), (3, base[BLOCK + 1000 : BLOCK + 1130] + "x" * 40 + base[50:260])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in deduplicated(docs_of(rows)).collect()}
+    assert got == {1: (0, 0), 2: (350, 1), 3: (130 + 210, 2)}
