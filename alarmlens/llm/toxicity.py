@@ -27,6 +27,7 @@ from alarmlens.llm.tables import bounded_sample, crc_remainder, id_and_text, in_
 from alarmlens.runtime import materialize
 
 FALSE_DISCOVERIES = 1e-3
+LEAST_RATIO = 4.0  # how much more often a voter has to stand in texts of label 1
 LABEL_BITS = 18  # words of 64 bits in the filter that keeps unlabelled texts from moving
 BEGINNINGS = (4, 5, 6)
 DIMENSIONS = 1 << 14
@@ -108,11 +109,14 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def find_lexicon(known: DataFrame, totals: dict[int, int], level: float = FALSE_DISCOVERIES) -> dict[str, int]:
-    """Terms of ``(text, label)`` that stand in more texts of label 1 than chance allows. ``totals``: rows per label.
+def find_lexicon(
+    known: DataFrame, totals: dict[int, int], level: float = FALSE_DISCOVERIES, ratio: float = LEAST_RATIO
+) -> dict[str, int]:
+    """Terms of ``(text, label)`` that stand in texts of label 1 more than ``ratio`` times as often as in those of label 0, beyond
+    what chance allows. ``totals``: rows per label.
 
     A term's p-value is bounded by Chernoff: texts that hold it, times the divergence between their share of label 1 and the
-    share among all. Benjamini and Hochberg's rule over all terms keeps the share of chance terms below ``level``. Of a word and
+    share that ``ratio`` itself would give. A test against the ratio keeps weak terms out however many rows there are. Benjamini and Hochberg's rule over all terms keeps the share of chance terms below ``level``. Of a word and
     its beginnings, which say the same thing, the most telling one stays.
     """
 
@@ -138,7 +142,7 @@ def find_lexicon(known: DataFrame, totals: dict[int, int], level: float = FALSE_
     counted = known.select("text", "label").mapInArrow(count, "term string, n0 long, n1 long")
     counted = materialize(counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "terms")
     tests = counted.count()
-    base = totals[1] / (totals[0] + totals[1])
+    base = ratio * totals[1] / (totals[0] + ratio * totals[1])
     n, share = F.col("n0") + F.col("n1"), F.col("n1") / (F.col("n0") + F.col("n1"))
     against = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     bound = -n * (share * F.log(share / base) + against)
