@@ -1,13 +1,16 @@
 """Incident numbering, recurrence, recovery and table upkeep, each over whole tables."""
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from alarmlens.operators.ranking import first_per_group, global_row_number
-from alarmlens.runtime import materialize
+from alarmlens.runtime import is_empty, materialize
 
 # Limits of the incident table.
 STORED_LOGS = 200
@@ -22,14 +25,19 @@ NATURAL_KEY = ["domain", "window_start", "emit_rank"]
 
 
 def number_incidents(
-    incidents: DataFrame, stored: DataFrame | None = None, *, created_at: Column | None = None
+    incidents: DataFrame,
+    stored: DataFrame | None = None,
+    *,
+    created_at: Column | None = None,
+    root_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``created_at``, ``incident_id`` (``INC-YYYYMMDD-NNN``) and ``recurrence_count``.
 
     The counter runs per day in (window, domain, emission) order and goes on from the
     stored maximum. Recurrence counts the earlier incidents of the same root, stored ones
     and those of this run. An incident that is already stored keeps its identifier, so a
-    replayed run writes the same rows.
+    replayed run writes the same rows. ``root_counts`` (root_cause_node, incidents) holds the counts of the whole
+    table; ``stored`` then needs only the rows of this run's days.
     """
     when = F.col("window_end") if created_at is None else created_at
     dated = incidents.withColumn("created_at", when)
@@ -59,7 +67,13 @@ def number_incidents(
             .agg(F.max("number").alias("taken"))
         )
         # Rows of this run that are stored already count once, through their rank.
-        earlier = count_by_root(related.join(slim.select(*NATURAL_KEY), NATURAL_KEY, "left_anti"))
+        if root_counts is None:
+            earlier = count_by_root(related.join(slim.select(*NATURAL_KEY), NATURAL_KEY, "left_anti"))
+        else:
+            again = count_by_root(related.join(slim.select(*NATURAL_KEY), NATURAL_KEY, "left_semi"))
+            earlier = root_counts.join(again.withColumnRenamed("incidents", "again"), "root_cause_node", "left").select(
+                "root_cause_node", (F.col("incidents") - F.coalesce("again", F.lit(0))).alias("incidents")
+            )
         ranked = ranked.join(taken, "day", "left").join(earlier, "root_cause_node", "left")
     else:
         ranked = ranked.withColumn("taken", F.lit(0)).withColumn("incidents", F.lit(0))
@@ -141,10 +155,10 @@ def recover(incidents: DataFrame, recoveries: DataFrame) -> DataFrame:
 # --- table operations ----------------------------------------------------------------------
 
 
-def upsert(existing: DataFrame, updates: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Rows of ``updates`` replace rows with the same key; the rest stays."""
-    if "raw_logs" in updates.columns:
-        updates = updates.withColumn("raw_logs", F.slice("raw_logs", 1, STORED_LOGS))
+def upsert(existing: DataFrame, updates: DataFrame, key: str = "incident_id", *, stored_logs: int | None = STORED_LOGS) -> DataFrame:
+    """Rows of ``updates`` replace rows with the same key; the rest stays. ``stored_logs``: logs kept per row, None for all."""
+    if stored_logs is not None and "raw_logs" in updates.columns:
+        updates = updates.withColumn("raw_logs", F.slice("raw_logs", 1, stored_logs))
     kept = existing.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates.select(*existing.columns))
 
@@ -242,61 +256,119 @@ def with_added_columns(incidents: DataFrame) -> DataFrame:
 
 
 # --- stored table --------------------------------------------------------------------------
+#
+# A table is a folder of numbered version files and of data folders. A version names, for each day, the folder that holds the
+# day's rows and their counts per root. A commit writes new folders first and then creates the next version file, which
+# only one writer can; readers follow the newest version, so a half-written commit is never read.
+
+
+class CommitConflict(RuntimeError):
+    """Another writer committed the same version first."""
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None while it does not exist."""
+    """A plain folder of rows, or None while it does not exist."""
     try:
-        return spark.read.option("mergeSchema", True).parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
 
 
-def _rewrite(path: str, rows: DataFrame, days: list) -> None:
-    """Replace the given day partitions by ``rows``; days without rows are removed.
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    The new rows are stored aside first, because they come from the files replaced here.
-    """
-    staged = materialize(rows, "table")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "created_date"
-    ).parquet(path)
-    left = {r.created_date for r in staged.select("created_date").distinct().collect()}
-    spark = staged.sparkSession
-    for day in set(days) - left:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/created_date={day}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _days(*frames: DataFrame) -> list:
+
+def _version(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the newest version; content: schema (DDL) and days (day to data folder)."""
+    folder, files = _files(spark, f"{path}/versions")
+    if not files.exists(folder):
+        return 0, {"schema": None, "days": {}}
+    numbers = [int(n) for f in files.listStatus(folder) if (n := f.getPath().getName()).isdigit()]
+    if not numbers:
+        return 0, {"schema": None, "days": {}}
+    newest = max(numbers)
+    text = spark.read.text(f"{path}/versions/{newest:012d}", wholetext=True).first()["value"]
+    return newest, json.loads(text)
+
+
+def _commit(spark: SparkSession, path: str, number: int, schema: str, days: dict[str, str]) -> None:
+    """Create version ``number``. The file appears whole under its name or not at all, and never replaces another."""
+    draft, files = _files(spark, f"{path}/versions/draft-{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(json.dumps({"schema": schema, "days": days}).encode()))
+    stream.close()
+    target, _ = _files(spark, f"{path}/versions/{number:012d}")
+    if files.exists(target) or not files.rename(draft, target):
+        files.delete(draft, False)
+        raise CommitConflict(f"version {number} of {path} exists")
+
+
+def _read_days(spark: SparkSession, path: str, version: dict, days=None, part: str = "rows") -> DataFrame | None:
+    folders = [f"{path}/data/{f}/{part}/created_date={day}" for day, f in sorted(version["days"].items()) if days is None or day in days]
+    schema = version["schema"] if part == "rows" else "root_cause_node string, incidents bigint"
+    if version["schema"] is None:
+        return None
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders)
+
+
+def read_incidents(spark: SparkSession, path: str, days=None) -> DataFrame | None:
+    """The stored table in its newest version, or None while there is none; ``days`` (ISO dates) reads these alone."""
+    return _read_days(spark, path, _version(spark, path)[1], days)
+
+
+def _days(*frames: DataFrame) -> set[str]:
     """Distinct days of the frames; their number is bounded by the retention."""
     out = set()
     for frame in frames:
-        out |= {r.created_date for r in frame.select("created_date").distinct().collect()}
-    return sorted(out)
+        out |= {str(r["day"]) for r in frame.select(F.to_date("created_at").alias("day")).distinct().collect()}
+    return out
 
 
-def save(spark: SparkSession, path: str, updates: DataFrame) -> None:
-    """Upsert into the stored table; only the day partitions concerned are rewritten."""
-    dated = materialize(updates.withColumn("created_date", F.to_date("created_at")), "updates")
-    existing = read_table(spark, path)
-    if existing is None:
-        dated.withColumn("raw_logs", F.slice("raw_logs", 1, STORED_LOGS)).write.mode(
-            "overwrite"
-        ).partitionBy("created_date").parquet(path)
-        return
-    moved = existing.select("incident_id", "created_date").join(
-        dated.select("incident_id"), "incident_id", "left_semi"
-    )
-    days = _days(dated, moved)
-    _rewrite(path, upsert(existing.filter(F.col("created_date").isin(days)), dated), days)
+def _write_days(spark: SparkSession, path: str, rows: DataFrame) -> dict[str, str]:
+    """Write rows and counts per root by day into a new folder; day to folder."""
+    if is_empty(rows):
+        return {}
+    name = uuid.uuid4().hex[:12]
+    dated = rows.withColumn("created_date", F.to_date("created_at"))
+    dated.write.partitionBy("created_date").parquet(f"{path}/data/{name}/rows")
+    stored = spark.read.schema(dated.schema).parquet(f"{path}/data/{name}/rows")
+    counts = stored.groupBy("created_date", "root_cause_node").agg(F.count("*").alias("incidents"))
+    counts.write.partitionBy("created_date").parquet(f"{path}/data/{name}/roots")
+    return {day: name for day in _days(stored)}
+
+
+def save(spark: SparkSession, path: str, updates: DataFrame, *, stored_logs: int | None = STORED_LOGS) -> None:
+    """Upsert into the stored table; only the days concerned are written anew.
+
+    ``stored_logs``: logs kept in an incident's row, None for all. Two writers that commit at once: the second one gets
+    ``CommitConflict`` and has changed nothing.
+    """
+    updates = updates.drop("created_date")
+    if stored_logs is not None and "raw_logs" in updates.columns:
+        updates = updates.withColumn("raw_logs", F.slice("raw_logs", 1, stored_logs))
+    updates = materialize(updates, "updates")
+    number, version = _version(spark, path)
+    days = _days(updates)
+    existing = _read_days(spark, path, version)
+    rows, schema = updates, version["schema"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.schema)
+    if existing is not None:
+        moved = existing.select("incident_id", "created_at").join(updates.select("incident_id"), "incident_id", "left_semi")
+        days |= _days(moved)
+        rows = upsert(_read_days(spark, path, version, days), updates, stored_logs=None)
+    written = _write_days(spark, path, rows)
+    kept = {day: folder for day, folder in version["days"].items() if day not in days}
+    _commit(spark, path, number + 1, schema, kept | written)
 
 
 def purge(spark: SparkSession, path: str, as_of: Column, days: int = RETENTION_DAYS) -> int:
     """Apply the retention to the stored table and return the number of removed rows."""
-    existing = read_table(spark, path)
+    number, version = _version(spark, path)
+    existing = _read_days(spark, path, version)
     if existing is None:
         return 0
     old = existing.filter(is_purgeable(as_of, days))
@@ -304,6 +376,20 @@ def purge(spark: SparkSession, path: str, as_of: Column, days: int = RETENTION_D
     if not touched:
         return 0
     removed = old.count()
-    rows = existing.filter(F.col("created_date").isin(touched))
-    _rewrite(path, purge_closed(rows, as_of, days), touched)
+    rows = purge_closed(_read_days(spark, path, version, touched), as_of, days)
+    written = _write_days(spark, path, rows)
+    kept = {day: folder for day, folder in version["days"].items() if day not in touched}
+    _commit(spark, path, number + 1, version["schema"], kept | written)
     return removed
+
+
+def number_against_table(spark: SparkSession, path: str, incidents: DataFrame) -> DataFrame:
+    """``number_incidents`` against the stored table without reading all of it: identifiers come from the days of this run, and
+    recurrence from the counts per root that each commit keeps."""
+    _, version = _version(spark, path)
+    if version["schema"] is None:
+        return number_incidents(incidents)
+    days = {str(r["day"]) for r in incidents.select(F.to_date("window_end").alias("day")).distinct().collect()}
+    same_days = _read_days(spark, path, version, days)
+    roots = _read_days(spark, path, version, part="roots").groupBy("root_cause_node").agg(F.sum("incidents").alias("incidents"))
+    return number_incidents(incidents, same_days, root_counts=roots)

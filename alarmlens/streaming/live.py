@@ -162,9 +162,10 @@ class LiveJob:
         if self.max_size:
             done = newest_per_window(done, self.max_size, time_col=self.time_col)
         topology, physical = self._topology()
-        stored = tables.read_table(self.spark, self.table_path)
+        stored = tables.read_incidents(self.spark, self.table_path)
         incidents, logs = infer_parts(done, topology, self.rules, physical=physical, time_col=self.time_col)
-        new = materialize(tables.number_incidents(incidents, stored).join(logs, LOG_KEY), "new")
+        numbered = tables.number_against_table(self.spark, self.table_path, incidents)
+        new = materialize(numbered.join(logs, LOG_KEY), "new")
         recoveries = materialize(recovery_nodes(done, topology.nodes, WINDOW), "recoveries")
         table = new
         if stored is not None:
@@ -183,19 +184,18 @@ class LiveJob:
 
     def _apply(self, new: DataFrame, recovered: DataFrame) -> None:
         """Add rows the table doesn't have; set the condition of rows that are still open."""
-        table = tables.read_table(self.spark, self.table_path)
+        table = tables.read_incidents(self.spark, self.table_path)
         if table is not None:
             new = new.join(table.select("incident_id"), "incident_id", "left_anti")
         if not is_empty(new):
             tables.save(self.spark, self.table_path, new)
-        table = tables.read_table(self.spark, self.table_path)
+        table = tables.read_incidents(self.spark, self.table_path)
         if table is None:
             return
         changed = (
             table.join(recovered.select("incident_id"), "incident_id", "left_semi")
             .filter(tables._is_recoverable())
             .withColumn("condition", F.lit("RECOVERED"))
-            .drop("created_date")
         )
         changed = materialize(changed, "recovered")
         if not is_empty(changed):

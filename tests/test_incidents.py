@@ -4,6 +4,7 @@ import json
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from alarmlens import schema
@@ -69,14 +70,43 @@ def test_stored_table(spark, tmp_path):
     path = str(tmp_path / "t")
     I.save(spark, path, rows(spark, [("a", 0, "X", {"status": "CLOSED"}), ("b", 48, "X", {})]))
     I.save(spark, path, rows(spark, [("b", 48, "X", {"status": "CLOSED"}), ("c", 49, "Y", {})]))
-    table = I.read_table(spark, path)
+    table = I.read_incidents(spark, path)
     assert {r.incident_id: r.status for r in table.collect()} == {"a": "CLOSED", "b": "CLOSED", "c": "OPEN"}
     # A moved row leaves its old day, which is then empty.
     I.save(spark, path, rows(spark, [("a", 49, "X", {"status": "CLOSED"})]))
-    assert I.read_table(spark, path).filter("incident_id = 'a'").count() == 1
+    assert I.read_incidents(spark, path).filter("incident_id = 'a'").count() == 1
     assert I.purge(spark, path, F.lit(DAY0 + dt.timedelta(days=93))) == 2
-    assert ids(I.read_table(spark, path)) == ["c"]
-    assert I.read_table(spark, str(tmp_path / "none")) is None
+    assert ids(I.read_incidents(spark, path)) == ["c"]
+    assert I.read_incidents(spark, str(tmp_path / "none")) is None
+
+
+def test_commits_are_whole_and_never_replace_one_another(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    I.save(spark, path, rows(spark, [("a", 0, "X", {})]))
+    # A writer that ends before its version file exists leaves folders that nobody reads.
+    monkeypatch.setattr(I, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        I.save(spark, path, rows(spark, [("b", 0, "X", {})]))
+    monkeypatch.undo()
+    assert ids(I.read_incidents(spark, path)) == ["a"]
+    # Two writers start from one version: the later one is told, and has changed nothing.
+    stale = I._version(spark, path)
+    I.save(spark, path, rows(spark, [("c", 1, "Y", {})]))
+    monkeypatch.setattr(I, "_version", lambda *_: stale)
+    with pytest.raises(I.CommitConflict):
+        I.save(spark, path, rows(spark, [("d", 1, "Y", {})]))
+    monkeypatch.undo()
+    assert sorted(ids(I.read_incidents(spark, path))) == ["a", "c"]
+    assert ids(I.read_incidents(spark, path, {"1999-01-01"})) == []
+
+
+def test_stored_logs_are_a_parameter(spark, tmp_path):
+    path = str(tmp_path / "t")
+    many = rows(spark, [("a", 0, "X", {"raw_logs": [str(i) for i in range(300)]})])
+    I.save(spark, path, many)
+    assert len(I.read_incidents(spark, path).first().raw_logs) == 200
+    I.save(spark, path, many, stored_logs=None)
+    assert len(I.read_incidents(spark, path).first().raw_logs) == 300
 
 
 def test_numbering_and_recurrence(spark):
