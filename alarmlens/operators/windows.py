@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alarmlens.operators.dense_windows import dense_anchors, dense_ends
+from alarmlens.operators.dense_windows import SLICE_US, dense_anchors, dense_ends
 from alarmlens.runtime import is_empty, materialize
 
 # Limits and defaults of the windows.
@@ -407,15 +407,24 @@ def payload_windows(messages: DataFrame) -> DataFrame:
 
 
 def newest_per_window(
-    messages: DataFrame, max_size: int = DEFAULT_RING_SIZE, *, time_col: str = "received_at"
+    messages: DataFrame, max_size: int = DEFAULT_RING_SIZE, *, time_col: str = "received_at", overflow: bool = False
 ) -> DataFrame:
-    """Overflow policy of the live buffer: keep the newest ``max_size`` rows of a window.
+    """Overflow policy of the live buffer: keep the newest ``max_size`` rows of a window, or with ``overflow`` the others.
 
-    The rank limit is also applied before the shuffle, so a hot window sends at most
-    ``max_size`` rows per task.
+    Counts per slice of time tell which slice is cut; only its rows are ranked, so a hot window is neither sorted nor held by one
+    task. ``messages`` is read twice.
     """
-    newest = W.partitionBy("domain", "window_start").orderBy(F.desc(time_col), F.desc("seq"))
-    return messages.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= max_size).drop("rn")
+    keys = ["domain", "window_start"]
+    sliced = messages.withColumn("_slice", F.floor(F.unix_micros(time_col) / F.lit(SLICE_US)))
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    newer = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    room = F.lit(max_size) - F.coalesce(F.sum("_n").over(newer), F.lit(0))
+    marked = sliced.join(counts.withColumn("_room", room), [*keys, "_slice"])
+    whole = marked.filter(F.col("_room") <= 0 if overflow else F.col("_n") <= F.col("_room"))
+    newest = W.partitionBy(*keys).orderBy(F.desc(time_col), F.desc("seq"))
+    cut = marked.filter((F.col("_room") > 0) & (F.col("_n") > F.col("_room"))).withColumn("_rn", F.row_number().over(newest))
+    kept = cut.filter(F.col("_rn") > F.col("_room") if overflow else F.col("_rn") <= F.col("_room")).drop("_rn")
+    return whole.unionByName(kept).drop("_slice", "_n", "_room")
 
 
 def burst_detected(messages: DataFrame, as_of: Column, burst: Burst = Burst()) -> DataFrame:

@@ -295,17 +295,18 @@ def infer_parts(
     drop_recovery: bool = True,
     physical: DataFrame | None = None,
     time_col: str = "received_at",
+    log_rows: int = STORED_LOGS,
 ) -> tuple[DataFrame, DataFrame]:
     """Incidents without logs, and the logs to join on ``LOG_KEY``.
 
     What is derived from incidents alone, such as their numbers, comes before that join, so the
-    messages are read for logs once.
+    messages are read for logs once. ``log_rows`` logs of an incident are kept.
     """
     evidence = drop_recoveries(messages) if drop_recovery else messages
     assigned = materialize(
         assign_hosts(evidence, topology, rules, physical=physical, time_col=time_col), "assigned"
     )
-    return build_incidents(assigned), stored_logs(evidence, assigned, time_col=time_col)
+    return build_incidents(assigned), stored_logs(evidence, assigned, log_rows, time_col=time_col)
 
 
 def simple_roots(messages: DataFrame, topology: Topology, closure: DataFrame | None = None) -> DataFrame:

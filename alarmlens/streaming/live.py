@@ -42,12 +42,14 @@ class LiveJob:
     window_sec: float = DEFAULT_WINDOW_SEC
     burst: Burst | None = None
     delay_sec: float = 0.0
-    max_size: int | None = None
+    max_size: int | None = None  # newest rows of a window that take part; the others go to a side table
+    stored_logs: int = tables.STORED_LOGS  # logs in an incident's row
     time_col: str = "received_at"
     year: int | None = None
     tz: str = "UTC"
     rules: Rules = field(default_factory=Rules)
     _closures: dict = field(default_factory=dict, repr=False)
+    _batch: int = field(default=0, repr=False)
 
     # --- state tables, one folder per micro-batch ---
 
@@ -150,6 +152,7 @@ class LiveJob:
         """
         outcome = self._read_state("outcome", batch)
         if outcome is None:
+            self._batch = batch
             self._write_state(self._outcome(done), "outcome", batch)
             outcome = self._read_state("outcome", batch)
         new = outcome.filter("change = 'new'").drop("change")
@@ -160,10 +163,13 @@ class LiveJob:
     def _outcome(self, done: DataFrame) -> DataFrame:
         """New and recovered incidents as they become, with ``change``."""
         if self.max_size:
+            self._write_state(newest_per_window(done, self.max_size, time_col=self.time_col, overflow=True), "overflow", self._batch)
             done = newest_per_window(done, self.max_size, time_col=self.time_col)
         topology, physical = self._topology()
         stored = tables.read_incidents(self.spark, self.table_path)
-        incidents, logs = infer_parts(done, topology, self.rules, physical=physical, time_col=self.time_col)
+        incidents, logs = infer_parts(
+            done, topology, self.rules, physical=physical, time_col=self.time_col, log_rows=self.stored_logs
+        )
         numbered = tables.number_against_table(self.spark, self.table_path, incidents)
         new = materialize(numbered.join(logs, LOG_KEY), "new")
         recoveries = materialize(recovery_nodes(done, topology.nodes, WINDOW), "recoveries")
@@ -188,7 +194,7 @@ class LiveJob:
         if table is not None:
             new = new.join(table.select("incident_id"), "incident_id", "left_anti")
         if not is_empty(new):
-            tables.save(self.spark, self.table_path, new)
+            tables.save(self.spark, self.table_path, new, stored_logs=self.stored_logs)
         table = tables.read_incidents(self.spark, self.table_path)
         if table is None:
             return
@@ -199,7 +205,7 @@ class LiveJob:
         )
         changed = materialize(changed, "recovered")
         if not is_empty(changed):
-            tables.save(self.spark, self.table_path, changed)
+            tables.save(self.spark, self.table_path, changed, stored_logs=self.stored_logs)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start the query on a stream of raw lines, e.g. ``availableNow=True``."""
@@ -216,6 +222,10 @@ class LiveJob:
         """Messages that came after their window was settled."""
         return tables.read_table(self.spark, f"{self.state_path}/late")
 
+    def overflow_rows(self) -> DataFrame | None:
+        """Messages beyond ``max_size`` of their window."""
+        return tables.read_table(self.spark, f"{self.state_path}/overflow")
+
     def feed(self) -> DataFrame | None:
         return tables.read_table(self.spark, f"{self.state_path}/feed")
 

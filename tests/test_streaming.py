@@ -159,3 +159,15 @@ def test_a_fast_domain_does_not_settle_a_slow_one(spark, job):
     )
     job.settle(fresh, 0)
     assert sorted((r.domain, r.seq) for r in job._read_state("pending", 0).collect()) == [("fast", 1), ("slow", 2)]
+
+
+def test_overflow_and_stored_logs(spark, job, tmp_path):
+    """Two rows of a window take part and one log is kept; the other rows are in the side table."""
+    job.max_size, job.stored_logs = 2, 1
+    job.drain(_run(spark, job, tmp_path, [ROWS]))
+    table = tables.read_incidents(spark, job.table_path).collect()
+    assert table and all(len(r.raw_logs) == 1 for r in table)
+    kept = sum(r.raw_log_count for r in table)
+    dropped = job.overflow_rows()
+    assert dropped.count() > 0 and kept + dropped.filter("not is_recovery").count() <= len(ROWS)
+    assert dropped.select("domain", "window_start", "seq").distinct().count() == dropped.count()

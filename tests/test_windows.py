@@ -124,6 +124,20 @@ def test_newest_rows_and_guard(spark):
     check_window_sec(600)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 200])
+def test_newest_rows_of_crowded_windows(spark, size):
+    """Rows of one slice, of one moment and of several windows; what is not kept is the overflow."""
+    rng = random.Random(size)
+    rows = [(rng.choice("ab"), i, at(rng.choice([0, 0, 0.01, 0.02, 1, 2.5])), at(0)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "domain string, seq bigint, received_at timestamp, window_start timestamp")
+    want = set()
+    for d in "ab":
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[1]), reverse=True)
+        want |= {r[1] for r in own[:size]}
+    assert {r.seq for r in newest_per_window(frame, size).collect()} == want
+    assert {r.seq for r in newest_per_window(frame, size, overflow=True).collect()} == {r[1] for r in rows} - want
+
+
 def _burst_cases():
     """Random ages around the border of the span, the border itself, and rules that are switched off."""
     rng = random.Random(17)
