@@ -94,7 +94,8 @@ FROM docs d LEFT JOIN words_hit w USING (doc_id) LEFT JOIN items_hit i USING (do
 
 @query
 def op4_secret_ledger(spark, d):
-    found = secret_ledger.scan(table(spark, d, "documents"), secret_ledger.new_ledger(spark))
+    rules = secret_ledger.BASE_RULES + secret_ledger.ADDED_RULES
+    found = secret_ledger.scan(table(spark, d, "documents"), secret_ledger.new_ledger(spark), rules)
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -133,15 +134,18 @@ ORACLES["op4_secret_ledger"] = (
             ),
             _spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20),
             _spans_sql("hex", 2, "[0-9a-f]+", 0, 24),
+            *[_spans_sql(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(secret_ledger.ADDED_RULES, 3)],
         ]
     )
     + """), joined AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank)
+           FILTER (rank < 3) AS base,
          string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans
   FROM found GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from alarmlens.runtime import materialize, shared_dir
+from alarmlens.runtime import materialize, run_dir
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
+# Shapes of secrets beyond the base rules. Every repetition is bounded or cannot run on, so a long text takes linear time.
+ADDED_RULES = (
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    Rule("provider", r"gh[pousr]_[A-Za-z0-9]+|xox[abprs]-[A-Za-z0-9-]+|sk_live_[A-Za-z0-9]+|AIza[A-Za-z0-9_-]+", 0, 20),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x00-\x20/:@]{1,256}:[^\x00-\x20/:@]{1,256}@", 0, 1),
+)
+
 _SEEN = "blob string, rule_version string"
 _FOUND = "blob string, rule_version string, kind string, start int, end int"
 
@@ -77,7 +84,7 @@ class Ledger:
 
 
 def new_ledger(spark: SparkSession) -> Ledger:
-    return Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}")
+    return Ledger(spark, f"{run_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}")
 
 
 def _row_of(rule: Rule):

@@ -1,6 +1,6 @@
 import re
 
-from alarmlens.llm.secret_ledger import BASE_RULES, Rule, new_ledger, scan, spans_text
+from alarmlens.llm.secret_ledger import ADDED_RULES, BASE_RULES, Rule, new_ledger, scan, spans_text
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -55,3 +55,21 @@ def test_findings_written_twice_count_once(spark, docs_of):
     scan(docs_of(rows), ledger)
     ledger.findings().write.mode("append").parquet(f"{ledger.path}/findings")
     assert report(scan(docs_of(rows), ledger)) == sorted(str((i, plain(t))) for i, t in rows)
+
+
+def test_added_spans(spark, docs_of):
+    """Key blocks, provider tokens and logins in addresses, and what only looks like them; base spans stay as they are."""
+    texts = [
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIé\n-----END RSA PRIVATE KEY----- -----BEGIN PUBLIC KEY-----",
+        "é ghp_" + "A1b2" * 9 + " xoxb-12345678-abcdefghij sk_live_short AIza" + "x_-9" * 8,
+        "see https://user:pass@host/x and http://host:80/a@b ftp://a:b@c postgres://u:p@ss@h",
+        "token=ghp_" + "Z" * 30,
+        "a" * 50_000 + "://" + "b" * 50_000 + ":" + "c" * 50_000,
+    ]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in scan(docs_of(rows), new_ledger(spark), BASE_RULES + ADDED_RULES).collect()}
+    for i, text in rows:
+        want = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(ADDED_RULES, 3) for m in re.finditer(r.pattern, text) if len(m.group()) >= r.least]
+        assert [x for x in got[i] if x[1] >= 3] == sorted(want)
+        assert ",".join(f"{k}:{a}:{b}" for a, rank, k, b in got[i] if rank < 3) == plain(text)
+    assert [len([x for x in got[i] if x[1] >= 3]) for i in range(5)] == [1, 3, 3, 1, 0]
