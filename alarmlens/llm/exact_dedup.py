@@ -3,12 +3,14 @@
 Every text has a 64-bit key. The index is a directory of buckets, each the owner of one key
 prefix: the directory doubles, one more bit at a time, until no bucket holds more than
 ``capacity`` distinct keys. Copies share a key, so a text with any number of copies takes one
-place. Owner tasks each process a range of keys in order, chain the texts that collide in a key,
-and compare whole bytes; the hash alone never makes two texts equal.
-
-Only texts whose key is met more than once travel to an owner. Copies are first collapsed inside
-the tasks that read them and then inside salted groups, so a text that makes up a third of all
-rows reaches its owner a few times.
+place. The directory places every key: its slot names the bucket, and an owner task processes
+whole buckets, key by key, chains the texts that collide in a key, and compares whole bytes; the
+hash alone never makes two texts equal. Each bucket's entries are written to files, and every row
+reads its ``keep_id`` and ``group_size`` from its entry.
+
+Only texts whose key is met more than once are compared; where the list of those keys is too large
+to be broadcast, all texts move once to meet it. Copies are collapsed inside tasks, then inside salted
+groups, so a text that makes up a third of all rows reaches its owner a few times.
 """
 from __future__ import annotations
 
@@ -25,15 +27,17 @@ from alarmlens.llm.tables import id_and_text
 from alarmlens.runtime import materialize
 
 SALTS = 32
-SPARE_BITS = 6  # the histogram is this much finer than an even spread of keys needs
+CAPACITY = 250  # distinct keys of a bucket; texts of one bucket are what an owner task holds as its least share
+SPARE_BITS = 2  # the histogram is this much finer than an even spread of keys needs
 
-_LINK = "h long, token long, head long, text string, id long, sha string, link int"
+_LINK = "h long, token long, head long, text string, id long, sha string, link int, bucket long"
 
 
 @dataclass
 class ExactIndex:
-    """``directory``: slot, bucket, depth at ``global_depth`` bits. ``entries``: the index files,
-    one row per distinct text: bucket, h, link (place in the chain of its key), keep_id, group_size."""
+    """``directory``: slot, bucket, depth at ``global_depth`` bits. ``entries``: the index files, one row per distinct
+    text: bucket, h, key_rows (rows with that key), link (place in the chain of its key), keep_id, group_size.
+    ``members``: one row per input row, id, sha, keep_id, group_size, looked up in the entries."""
 
     directory: DataFrame
     global_depth: int
@@ -41,6 +45,11 @@ class ExactIndex:
     members: DataFrame
 
 
+def key_of(col: str):
+    """64-bit key of a text."""
+    return F.xxhash64(col)
+
+
 def slot(depth: int):
     """First ``depth`` bits of the key ``h``, as a number."""
     return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
@@ -124,71 +133,71 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(columns.get("id", empty), pa.int64()),
                 pa.array(columns.get("sha", empty), pa.string()),
                 pa.array(links, pa.int32()),
+                pa.array(columns.get("bucket", empty), pa.int64()),
             ],
-            names=["h", "token", "head", "text", "id", "sha", "link"],
+            names=["h", "token", "head", "text", "id", "sha", "link", "bucket"],
         )
 
 
 def _chained(rows: DataFrame, name: str) -> DataFrame:
-    return materialize(rows.sortWithinPartitions("h").mapInArrow(_chain, _LINK), name)
+    return materialize(rows.sortWithinPartitions(*[c for c in ("bucket", "h") if c in rows.columns]).mapInArrow(_chain, _LINK), name)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> ExactIndex:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> ExactIndex:
     """Index of every row of ``docs``. Null texts count as empty; null and repeated ids are rows like any other."""
     source = id_and_text(docs, id_col, text_col)
-    keyed = source.withColumn("h", F.xxhash64("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    keyed = source.withColumn("h", key_of("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     narrow = materialize(keyed.select("id", "h", "sha"), "keys")
-    counts = materialize(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "key_counts")
-    directory, depth = build_directory(counts, capacity)
+    counts = narrow.groupBy("h").agg(F.count(F.lit(1)).alias("key_rows"), F.max("id").alias("id"))
+    counts = materialize(counts, "key_counts")
+    directory, depth = build_directory(counts.select("h"), capacity)
     directory = materialize(directory, "slots")
-    repeated = materialize(counts.filter("n > 1").select("h"), "repeated_keys")
+    repeated = materialize(counts.filter("key_rows > 1").select("h"), "repeated_keys")
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def placed(keys: DataFrame) -> DataFrame:
+        return keys.withColumn("slot", slot(depth)).join(directory.select("slot", "bucket"), "slot").drop("slot")
 
-    # Copies collapse where they are read, then in salted groups, then at the owner of the key.
+    # Copies collapse where they are read, then in salted groups, then at the owner of their bucket.
     local = _chained(keyed.join(repeated, "h"), "chain_local")
     heads = local.filter("text is not null").select("h", F.col("head").alias("token"), "text")
     salt = F.pmod(F.shiftright("token", 33), F.lit(SALTS))
     salted = _chained(heads.repartition("h", salt), "chain_salted")
     heads = salted.filter("text is not null").select("h", F.col("head").alias("token"), "text")
-    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    owned = _chained(heads.repartitionByRange(ranges, "h"), "chain_owner")
+    owned = _chained(placed(heads).repartitionByRange(ranges, "bucket"), "chain_owner")
 
     to_class = salted.select(F.col("token").alias("head"), F.col("head").alias("next")).join(
-        owned.select(F.col("token").alias("next"), F.col("head").alias("class"), "h", "link"), "next"
+        owned.select(F.col("token").alias("next"), F.col("head").alias("class"), "bucket", "h", "link"), "next"
     )
+    to_class = materialize(to_class.drop("next"), "class_of_head")
     parts = local.groupBy("head").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = to_class.join(parts, "head").groupBy("class").agg(
-        F.max("id").alias("keep_id"),
-        F.sum("n").alias("group_size"),
-        F.first("h").alias("h"),
-        F.min("link").alias("link"),
-    )
-    classes = materialize(classes, "classes")
-    of_head = to_class.select("head", "class").join(classes.select("class", "keep_id", "group_size"), "class")
-    copies = local.select("id", "sha", "head").join(of_head, "head").select("id", "sha", "keep_id", "group_size")
-    single = narrow.join(repeated, "h", "left_anti")
-    members = copies.unionByName(
-        single.select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    chained = to_class.join(parts, "head").groupBy("bucket", "h", "link").agg(
+        F.max("id").alias("keep_id"), F.sum("n").alias("group_size")
     )
-    rows = classes.select("h", "link", "keep_id", "group_size").unionByName(
-        single.select("h", F.lit(0).alias("link"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    chained = chained.join(counts.filter("key_rows > 1").select("h", "key_rows"), "h")
+    single = placed(counts.filter("key_rows = 1")).select(
+        "bucket", "h", "key_rows", F.lit(0).alias("link"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
-    placed = rows.withColumn("slot", slot(depth)).join(directory, "slot").select(
-        "bucket", "depth", "h", "link", "keep_id", "group_size"
-    )
-    entries = placed.repartitionByRange(ranges, "bucket", "h").sortWithinPartitions("bucket", "h", "link")
-    return ExactIndex(directory, depth, entries, members)
+    entries = chained.select(single.columns).unionByName(single)
+    entries = entries.repartitionByRange(ranges, "bucket").sortWithinPartitions("bucket", "h", "link")
+    entries = materialize(entries, "exact_index")
+
+    found = entries.filter("key_rows > 1").select("bucket", "h", "link", "keep_id", "group_size")
+    of_head = to_class.select("head", "bucket", "h", "link").join(found, ["bucket", "h", "link"])
+    copies = local.select("id", "sha", "head").join(of_head.select("head", "keep_id", "group_size"), "head")
+    alone = narrow.join(entries.filter("key_rows = 1").select("h", "keep_id", "group_size"), "h")
+    columns = ["id", "sha", "keep_id", "group_size"]
+    return ExactIndex(directory, depth, entries, copies.select(columns).unionByName(alone.select(columns)))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. With repeated rows (same id and text) each row
     counts in ``group_size`` and all rows that carry the largest id are marked kept. A null id never
     stays unless its group has no other; then ``keep_id`` is null and ``kept`` true. An empty table gives no rows.
     """
-    index = build_index(docs, id_col, text_col, capacity)
-    materialize(index.entries, "exact_index")
-    return index.members.select(
+    return build_index(docs, id_col, text_col, capacity).members.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

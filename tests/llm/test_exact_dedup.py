@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from alarmlens.llm import exact_dedup
 from alarmlens.llm.exact_dedup import build_directory, build_index, exact_groups
@@ -56,6 +57,46 @@ def test_entries_hold_each_text_once(docs_of, odd_rows):
     assert sum(r["group_size"] for r in entries) == len(odd_rows)
 
 
+def test_entries_lie_in_the_bucket_of_their_slot(docs_of):
+    rows = [(i, f"text {i % 60}") for i in range(90)]
+    index = build_index(docs_of(rows), capacity=5)
+    slots = {r["slot"]: r["bucket"] for r in index.directory.collect()}
+    entries = index.entries.collect()
+    assert index.global_depth >= 3 and len({r["bucket"] for r in entries}) > 8
+    assert all(r["bucket"] == slots[(r["h"] % (1 << 64)) >> (64 - index.global_depth)] for r in entries)
+    assert sum(r["key_rows"] == 2 for r in entries) == 30
+
+
+def test_rows_come_from_the_directory(docs_of, monkeypatch):
+    """A directory that lacks a bucket loses the rows of that bucket, with copies or without."""
+    rows = [(i, f"text {i % 60}") for i in range(90)]
+    right = exact_dedup.build_directory
+
+    def without_first(keys, capacity):
+        directory, depth = right(keys, capacity)
+        return directory.filter("bucket > 0"), depth
+
+    index = build_index(docs_of(rows), capacity=5)
+    missing = {r["h"]: r["key_rows"] for r in index.entries.filter("bucket = 0").collect()}
+    monkeypatch.setattr(exact_dedup, "build_directory", without_first)
+    assert missing and exact_groups(docs_of(rows), capacity=5).count() == 90 - sum(missing.values())
+
+
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_colliding_texts_and_no_broadcast(spark, docs_of, odd_rows, monkeypatch, limit):
+    """Keys of two bits: nearly all texts collide, and chains decide. The same with broadcasts off."""
+    few = lambda col: F.shiftleft(F.pmod(F.crc32(F.col(col).cast("binary")), F.lit(4)), 62)
+    monkeypatch.setattr(exact_dedup, "key_of", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = odd_rows + [(1000 + i, f"text {i % 25}") for i in range(60)]
+        got = [tuple(r) for r in exact_groups(docs_of(rows).repartition(4), capacity=2).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(str, got)) == plain(rows)
+
+
 def test_colliding_keys_are_chained_by_their_bytes(monkeypatch):
     """Two texts with one key: each has its own chain link, and copies find the right one."""
 
