@@ -116,27 +116,39 @@ def _silent_owners(hosts: DataFrame, marked: DataFrame, candidates: DataFrame) -
 
     A candidate left with fewer than two hosts is skipped and takes none. Taking in
     rank order means that a host goes to its best-ranked candidate, so one minimum per
-    host settles every window without a candidate that would take exactly one host.
-    In the others the best-ranked such candidate is removed and the window is settled
-    again; candidates before it are not affected.
+    host settles all hosts of candidates that take two or more: hosts only ever move to
+    later candidates, so nobody loses any. Only the hosts of lonely candidates, which
+    take exactly one, go on to the next round. All lonely candidates leave at once but those with a
+    claim to the host of an earlier lonely one, which may still gain it. The number of
+    rounds is the longest chain of lonely candidates that wait for one another, whatever
+    the number of windows and candidates.
     """
     free = hosts.filter("flap is null").select(*HOST)
     claims = (
         marked.join(candidates.select(*WINDOW, "ancestor", "rank"), [*WINDOW, "ancestor"])
         .join(free, HOST, "left_semi")
-        .select(*HOST, F.struct("rank", F.col("ancestor").alias("root")).alias("claim"))
+        .select(*HOST, F.struct("rank", F.col("ancestor").alias("root")).alias("claim"), F.lit(False).alias("sure"))
     )
     settled: list[DataFrame] = []
     while True:
-        owners = materialize(claims.groupBy(*HOST).agg(F.min("claim").alias("claim")), "owners")
-        takes = owners.groupBy(*WINDOW, "claim").agg(F.count("*").alias("n"))
-        lonely = takes.filter("n = 1").groupBy(*WINDOW).agg(F.min("claim").alias("skip"))
-        if is_empty(lonely):
-            settled.append(owners)
+        owners = claims.groupBy(*HOST).agg(F.min(F.struct("claim", "sure")).alias("own")).select(*HOST, "own.*")
+        stays = F.max("sure") | (F.count("*") >= 2)
+        held = materialize(
+            owners.drop("sure").join(owners.groupBy(*WINDOW, "claim").agg(stays.alias("stays")), [*WINDOW, "claim"]),
+            "owners",
+        )
+        settled.append(held.filter("stays").drop("stays"))
+        loose = held.filter("not stays").select(*HOST, F.col("claim").alias("owner"))
+        if is_empty(loose):
             break
-        settled.append(owners.join(lonely, WINDOW, "left_anti"))
+        state = held.select(*WINDOW, "claim", "stays").distinct()
+        pool = claims.join(loose, HOST).join(state, [*WINDOW, "claim"], "left")
+        pool = materialize(pool.withColumn("sure", F.coalesce("stays", "sure")), "loose_claims")
+        waiting = pool.filter("not stays and claim != owner").select(*WINDOW, "claim").distinct()
+        waiting = waiting.withColumn("waits", F.lit(True))
         claims = materialize(
-            claims.join(lonely, WINDOW).filter(F.col("claim") != F.col("skip")).drop("skip"), "claims"
+            pool.join(waiting, [*WINDOW, "claim"], "left").filter("claim != owner or waits").select(*HOST, "claim", "sure"),
+            "claims",
         )
     out = settled[0]
     for piece in settled[1:]:

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from alarmlens.operators.topology import ROLE_PRIORITY
+from alarmlens.plans import infer as plan
 from alarmlens.plans.infer import Rules, assign_hosts, incident_logs, infer, simple_roots, window_summary
+from alarmlens.runtime import materialize
 from tests.helpers import SITE_EDGES, SITE_NODES, at, model_infer, star, topology, windowed
 
 LINK = "%LINK-3-UPDOWN: Interface GE0/0, changed state to down"
@@ -136,6 +138,68 @@ def test_random_windows_match_the_model(spark, seed):
     assert incident_logs(messages, assigned).count() == total
 
 
+def claimed(spark, windows, flapping=()):
+    """Tables for the owners of hosts: ``windows`` maps a name to candidates, in rank order, each with its hosts."""
+    hosts, marked, ranked = set(), [], []
+    for w, candidates in windows.items():
+        for rank, (name, below_it) in enumerate(candidates, 1):
+            ranked.append((w, 0, name, rank))
+            for host in below_it:
+                hosts.add((w, 0, host, "flaps" if (w, host) in flapping else None))
+                marked.append((w, 0, host, name))
+    return (
+        spark.createDataFrame(sorted(hosts, key=str), "domain string, window_start int, hostname string, flap string"),
+        spark.createDataFrame(marked, "domain string, window_start int, hostname string, ancestor string"),
+        spark.createDataFrame(ranked, "domain string, window_start int, ancestor string, rank int"),
+    )
+
+
+def taken_in_order(windows, flapping=()):
+    out = {}
+    for w, candidates in windows.items():
+        free = {h for _, below_it in candidates for h in below_it if (w, h) not in flapping}
+        for name, below_it in candidates:
+            own = free & set(below_it)
+            if len(own) >= 2:
+                free -= own
+                out |= {(w, h): name for h in own}
+    return out
+
+
+def owners_and_rounds(spark, monkeypatch, *tables):
+    rounds = []
+
+    def counted(df, name="step"):
+        rounds.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(plan, "materialize", counted)
+    got = {(r.domain, r.hostname): r.silent_root for r in plan._silent_owners(*tables).collect()}
+    return got, rounds.count("owners")
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_silent_roots_take_hosts_in_rank_order(spark, monkeypatch, seed):
+    """Candidates with overlapping hosts, many of them left with one: as when they are asked one after another."""
+    rng = random.Random(seed)
+    windows = {
+        f"w{w}": [(f"c{c}", rng.sample([f"h{i}" for i in range(12)], rng.randint(1, 4))) for c in range(rng.randint(1, 9))]
+        for w in range(150)
+    }
+    flapping = {(w, f"h{i}") for w in windows for i in range(12) if rng.random() < 0.15}
+    got, _ = owners_and_rounds(spark, monkeypatch, *claimed(spark, windows, flapping))
+    assert got == taken_in_order(windows, flapping)
+
+
+def test_lonely_candidates_of_a_wide_tree_leave_at_once(spark, monkeypatch):
+    """300 routers over two hosts each, of which one flaps: one round for all, and one that finds nothing left."""
+    windows = {"w": [(f"c{c:03d}", [f"h{c}a", f"h{c}b"]) for c in range(300)]}
+    flapping = {("w", f"h{c}a") for c in range(0, 300, 2)}
+    got, rounds = owners_and_rounds(spark, monkeypatch, *claimed(spark, windows, flapping))
+    assert got == taken_in_order(windows, flapping) and len(got) == 300
+    assert rounds == 2
+
+
 def test_stored_logs_are_the_first_200(spark):
     rows = [("Leaf1", f"line {i}", 3 if i > 250 else 6, i) for i in range(300)]
     got = run(spark, star(spark, 1), rows)
