@@ -342,11 +342,13 @@ def _write_days(spark: SparkSession, path: str, rows: DataFrame) -> dict[str, st
     return {day: name for day in _days(stored)}
 
 
-def save(spark: SparkSession, path: str, updates: DataFrame, *, stored_logs: int | None = STORED_LOGS) -> None:
+def save(
+    spark: SparkSession, path: str, updates: DataFrame, *, stored_logs: int | None = STORED_LOGS, removed: DataFrame | None = None
+) -> None:
     """Upsert into the stored table; only the days concerned are written anew.
 
-    ``stored_logs``: logs kept in an incident's row, None for all. Two writers that commit at once: the second one gets
-    ``CommitConflict`` and has changed nothing.
+    ``stored_logs``: logs kept in an incident's row, None for all. ``removed`` (incident_id): rows that leave the table in the
+    same commit. Two writers that commit at once: the second one gets ``CommitConflict`` and has changed nothing.
     """
     updates = updates.drop("created_date")
     if stored_logs is not None and "raw_logs" in updates.columns:
@@ -357,9 +359,14 @@ def save(spark: SparkSession, path: str, updates: DataFrame, *, stored_logs: int
     existing = _read_days(spark, path, version)
     rows, schema = updates, version["schema"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.schema)
     if existing is not None:
-        moved = existing.select("incident_id", "created_at").join(updates.select("incident_id"), "incident_id", "left_semi")
+        touched = updates.select("incident_id")
+        if removed is not None:
+            touched = touched.unionByName(removed.select("incident_id"))
+        moved = existing.select("incident_id", "created_at").join(touched, "incident_id", "left_semi")
         days |= _days(moved)
         rows = upsert(_read_days(spark, path, version, days), updates, stored_logs=None)
+        if removed is not None:
+            rows = rows.join(removed.select("incident_id"), "incident_id", "left_anti")
     written = _write_days(spark, path, rows)
     kept = {day: folder for day, folder in version["days"].items() if day not in days}
     _commit(spark, path, number + 1, schema, kept | written)
@@ -383,13 +390,16 @@ def purge(spark: SparkSession, path: str, as_of: Column, days: int = RETENTION_D
     return removed
 
 
-def number_against_table(spark: SparkSession, path: str, incidents: DataFrame) -> DataFrame:
+def number_against_table(spark: SparkSession, path: str, incidents: DataFrame, *, known: bool = True) -> DataFrame:
     """``number_incidents`` against the stored table without reading all of it: identifiers come from the days of this run, and
-    recurrence from the counts per root that each commit keeps."""
+    recurrence from the counts per root that each commit keeps. ``known=False``: none of the incidents is stored, so a stored
+    one at the same place of its window gives no identifier."""
     _, version = _version(spark, path)
     if version["schema"] is None:
         return number_incidents(incidents)
     days = {str(r["day"]) for r in incidents.select(F.to_date("window_end").alias("day")).distinct().collect()}
     same_days = _read_days(spark, path, version, days)
+    if not known:
+        same_days = same_days.withColumn("emit_rank", F.lit(None).cast("int"))
     roots = _read_days(spark, path, version, part="roots").groupBy("root_cause_node").agg(F.sum("incidents").alias("incidents"))
     return number_incidents(incidents, same_days, root_counts=roots)

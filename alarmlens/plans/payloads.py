@@ -173,21 +173,25 @@ def resolve_payloads(recoveries: DataFrame, closed: DataFrame | None = None) ->
     return rows.select("source", F.to_json(F.struct("source")).alias("payload"))
 
 
-def event_feed(new: DataFrame, recovered: DataFrame | None = None) -> DataFrame:
-    """Feed rows ``incident.new`` and ``incident.recovered`` with the public incident."""
+def event_feed(
+    new: DataFrame, recovered: DataFrame | None = None, *, changed: DataFrame | None = None, withdrawn: DataFrame | None = None
+) -> DataFrame:
+    """Feed rows ``incident.new`` and ``incident.recovered`` with the public incident; corrections after late messages are
+    ``incident.changed`` with the new content and ``incident.withdrawn`` with the last one."""
 
     def rows(df: DataFrame, kind: str) -> DataFrame:
         body = F.struct(*_iso(PUBLIC_COLUMNS)).alias("incident")
         fields = [F.lit(kind).alias("type"), body]
-        if kind == "incident.recovered":
+        if kind != "incident.new":
             fields.insert(1, F.col("incident_id"))
         return df.select(
             F.lit(kind).alias("type"), "incident_id", F.to_json(F.struct(*fields)).alias("event")
         )
 
     out = rows(new, "incident.new")
-    if recovered is not None:
-        out = out.unionByName(rows(recovered, "incident.recovered"))
+    for df, kind in ((recovered, "recovered"), (changed, "changed"), (withdrawn, "withdrawn")):
+        if df is not None:
+            out = out.unionByName(rows(df, f"incident.{kind}"))
     return out
 
 

@@ -6,10 +6,15 @@ keeps the unsettled ones in a pending table in the shared folder, assigns window
 the batch operator, and hands the settled windows to inference. A busy domain is thus
 spread over the cluster like any other data, and a replayed micro-batch starts from the
 pending table of the one before it.
+
+With ``reopen_sec`` settled messages stay in an archive for that time. A message that comes after
+its window was settled reopens the windows of its domain from there on: they are formed and
+inferred again, and what differs from the stored incidents goes out as corrections.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +34,11 @@ from alarmlens.runtime import is_empty, materialize
 from alarmlens.sources.lines import with_arrival_order
 from alarmlens.sources.patterns import effective_patterns
 
+#: What a stored incident says; if one of these differs after a late message, the incident has changed.
+CONTENT = ["window_end", "emit_rank", "primary_event", "secondary_nodes", "raw_log_count", "raw_logs", "condition"]
+CHANGES = ("new", "recovered", "changed", "withdrawn")
+
+
 @dataclass
 class LiveJob:
     """Folders and rules of one live job; all folders are on shared storage."""
@@ -44,6 +54,7 @@ class LiveJob:
     delay_sec: float = 0.0
     max_size: int | None = None  # newest rows of a window that take part; the others go to a side table
     stored_logs: int = tables.STORED_LOGS  # logs in an incident's row
+    reopen_sec: float | None = None  # how far behind the settled time of its domain a message still reopens windows
     time_col: str = "received_at"
     year: int | None = None
     tz: str = "UTC"
@@ -63,10 +74,63 @@ class LiveJob:
         df.write.mode("overwrite").parquet(self._state(name, batch))
 
     def _forget(self, batch: int) -> None:
-        for name in ("pending", "settled", "horizon", "outcome"):
+        self._delete(("pending", "settled", "horizon", "outcome"), batch)
+
+    def _delete(self, names, batch: int) -> None:
+        for name in names:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._state(name, batch))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    # --- settled messages that late ones may reopen ---
+
+    def _current(self, name: str, before: int | None = None) -> DataFrame | None:
+        """Rows of a per-batch table of windowed messages without those whose windows a later batch reopened."""
+        rows = tables.read_table(self.spark, f"{self.state_path}/{name}")
+        marks = tables.read_table(self.spark, f"{self.state_path}/reopened")
+        if rows is None:
+            return None
+        if before is not None:  # a replayed micro-batch sees what stood before its first run
+            rows = rows.filter(F.col("batch") < before)
+            marks = marks if marks is None else marks.filter(F.col("batch") < before)
+        if marks is None:
+            return rows
+        marks = marks.select("domain", "reopened_from", F.col("batch").alias("reopened_by"))
+        again = (rows["domain"] == marks["domain"]) & (F.col("reopened_by") > F.col("batch")) & (F.col("window_start") >= F.col("reopened_from"))
+        return rows.join(marks, again, "left_anti")
+
+    def _reopen(self, late: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
+        """``(domain, reopened_from)`` and the archived messages of these windows.
+
+        Windows chain, so all from the last one that starts before the first late message are formed again; those
+        before it end before that message and stay.
+        """
+        first = late.groupBy("domain").agg(F.min(self.time_col).alias("first_late"))
+        archive = self._current("archive", batch)
+        if archive is None:
+            return first.withColumnRenamed("first_late", "reopened_from"), late.limit(0)
+        starts = archive.select("domain", "window_start").join(first, "domain").filter("window_start <= first_late")
+        starts = starts.groupBy("domain").agg(F.max("window_start").alias("start"))
+        reopened = first.join(starts, "domain", "left").select("domain", F.coalesce("start", "first_late").alias("reopened_from"))
+        reopened = materialize(reopened, "reopened")
+        again = archive.join(reopened, "domain").filter("window_start >= reopened_from")
+        return reopened, again.select(*late.columns)
+
+    def _archive(self, done: DataFrame, reopened: DataFrame | None, batch: int) -> None:
+        """Keep settled messages, note what was reopened, and drop batches that nothing can reach any more."""
+        if reopened is not None:
+            self._write_state(reopened, "reopened", batch)
+        self._write_state(done, "archive", batch)
+        self._write_state(done.groupBy("domain").agg(F.max("window_end").alias("newest")), "extent", batch)
+        extents = tables.read_table(self.spark, f"{self.state_path}/extent")
+        settled = self._read_state("settled", batch - 1)  # not this batch's, which may be replayed
+        if settled is None:
+            return
+        reach = F.make_dt_interval(secs=F.lit(float(self.reopen_sec + self.window_sec)))
+        alive = F.max(F.coalesce(F.col("newest") >= F.col("settled_until") - reach, F.lit(True)))
+        ages = extents.join(settled, "domain", "left").groupBy("batch").agg(alive.alias("alive"))
+        for row in ages.filter(~F.col("alive")).select("batch").collect():
+            self._delete(("archive", "extent"), row["batch"])
+
     # --- reference data, reread for every micro-batch ---
 
     def _topology(self) -> tuple[Topology, DataFrame]:
@@ -95,11 +159,19 @@ class LiveJob:
         pending = self._read_state("pending", batch - 1)
         settled = self._read_state("settled", batch - 1)
         horizon = self._horizon(fresh, batch, everything)
+        reopened = None
         if settled is not None:
             joined = fresh.join(settled, "domain", "left")
             late = F.coalesce(F.col(self.time_col) <= F.col("settled_until"), F.lit(False))
-            self._write_state(joined.filter(late).drop("settled_until"), "late", batch)
-            fresh = joined.filter(~late).drop("settled_until").select(*fresh.columns)
+            within = F.lit(False)
+            if self.reopen_sec is not None:
+                within = F.col(self.time_col) >= F.col("settled_until") - F.make_dt_interval(secs=F.lit(float(self.reopen_sec)))
+            self._write_state(joined.filter(late & ~within).drop("settled_until"), "late", batch)
+            back = joined.filter(late & within).select(*fresh.columns)
+            fresh = joined.filter(~late).select(*fresh.columns)
+            if self.reopen_sec is not None and not is_empty(back := materialize(back, "back")):
+                reopened, again = self._reopen(back, batch)
+                fresh = fresh.unionByName(back).unionByName(again)
         if pending is not None:
             fresh = pending.unionByName(fresh)
         windowed = materialize(
@@ -122,13 +194,18 @@ class LiveJob:
         )
         done = windowed.filter(complete).drop("horizon")
         until = done.groupBy("domain").agg(F.max("window_end").alias("settled_until"))
+        if reopened is not None:
+            before = F.col("reopened_from") - F.expr("interval 1 microsecond")
+            settled = settled.join(reopened, "domain", "left").select("domain", F.coalesce(before, "settled_until").alias("settled_until"))
         if settled is not None:
             until = settled.unionByName(until).groupBy("domain").agg(
                 F.max("settled_until").alias("settled_until")
             )
         self._write_state(until, "settled", batch)
-        if not is_empty(done):
-            self.publish(done, batch)
+        if reopened is not None or not is_empty(done):
+            self.publish(done, batch, reopened)
+        if self.reopen_sec is not None:
+            self._archive(done, reopened, batch)
         self._forget(batch - 2)
 
     def _horizon(self, fresh: DataFrame, batch: int, everything: bool) -> DataFrame | None:
@@ -143,7 +220,7 @@ class LiveJob:
         self._write_state(now, "horizon", batch)
         return self._read_state("horizon", batch)
 
-    def publish(self, done: DataFrame, batch: int) -> None:
+    def publish(self, done: DataFrame, batch: int, reopened: DataFrame | None = None) -> None:
         """Infer and number, work out recoveries, then store the outcome and apply it.
 
         The outcome comes from the table as it was before the micro-batch and is stored before the table
@@ -153,15 +230,18 @@ class LiveJob:
         outcome = self._read_state("outcome", batch)
         if outcome is None:
             self._batch = batch
-            self._write_state(self._outcome(done), "outcome", batch)
+            self._write_state(self._outcome(done, reopened), "outcome", batch)
             outcome = self._read_state("outcome", batch)
-        new = outcome.filter("change = 'new'").drop("change")
-        recovered = outcome.filter("change = 'recovered'").drop("change")
-        self._apply(new, recovered)
-        self._write_state(event_feed(new, recovered), "feed", batch)
+        new, recovered, changed, withdrawn = (outcome.filter(F.col("change") == c).drop("change") for c in CHANGES)
+        self._apply(new, recovered, changed, withdrawn)
+        self._write_state(event_feed(new, recovered, changed=changed, withdrawn=withdrawn), "feed", batch)
 
-    def _outcome(self, done: DataFrame) -> DataFrame:
-        """New and recovered incidents as they become, with ``change``."""
+    def _outcome(self, done: DataFrame, reopened: DataFrame | None = None) -> DataFrame:
+        """Incidents as they become, with ``change``: new, recovered, and after late messages changed or withdrawn.
+
+        An incident of a reopened window is the stored one of the same window, kind and root. It keeps its identifier, its
+        recurrence count and a closed status; stored ones that are not found again are withdrawn.
+        """
         if self.max_size:
             self._write_state(newest_per_window(done, self.max_size, time_col=self.time_col, overflow=True), "overflow", self._batch)
             done = newest_per_window(done, self.max_size, time_col=self.time_col)
@@ -170,42 +250,79 @@ class LiveJob:
         incidents, logs = infer_parts(
             done, topology, self.rules, physical=physical, time_col=self.time_col, log_rows=self.stored_logs
         )
-        numbered = tables.number_against_table(self.spark, self.table_path, incidents)
-        new = materialize(numbered.join(logs, LOG_KEY), "new")
+        old = None
+        if reopened is not None and stored is not None:
+            old = materialize(stored.join(reopened, "domain").filter("window_start >= reopened_from").drop("reopened_from"), "reopened")
+            incidents = materialize(incidents, "incidents")
+            fresh = incidents.join(old.select(*LOG_KEY), LOG_KEY, "left_anti")
+            numbered = tables.number_against_table(self.spark, self.table_path, fresh, known=False)
+            kept = old.select(
+                *LOG_KEY, "created_at", "incident_id", "recurrence_count",
+                F.col("status").alias("_status"), F.when(F.col("status") == "CLOSED", F.col("condition")).alias("_condition"),
+            )
+            again = incidents.join(kept, LOG_KEY).withColumns({"status": F.col("_status"), "condition": F.coalesce("_condition", "condition")})
+            numbered = numbered.unionByName(again.select(*numbered.columns))
+        else:
+            numbered = tables.number_against_table(self.spark, self.table_path, incidents)
+        every = materialize(numbered.join(logs, LOG_KEY), "new")
         recoveries = materialize(recovery_nodes(done, topology.nodes, WINDOW), "recoveries")
-        table = new
+        table = every
         if stored is not None:
             concerned = stored.join(
                 recoveries.select("domain", F.col("hostname").alias("root_cause_node")).distinct(),
                 ["domain", "root_cause_node"],
                 "left_semi",
             )
-            table = concerned.join(new.select("incident_id"), "incident_id", "left_anti").unionByName(
-                new, allowMissingColumns=True
-            )
-        recovered = tables.recover(table, recoveries).filter("recovered_window is not null")
-        return new.withColumn("change", F.lit("new")).unionByName(
-            recovered.select(*new.columns).withColumn("change", F.lit("recovered"))
+            replaced = every.select("incident_id")
+            if old is not None:
+                replaced = replaced.unionByName(old.select("incident_id")).distinct()
+            table = concerned.join(replaced, "incident_id", "left_anti").unionByName(every, allowMissingColumns=True)
+        recovered = tables.recover(table, recoveries).filter("recovered_window is not null").select(*every.columns)
+        if old is None:
+            return every.withColumn("change", F.lit("new")).unionByName(recovered.withColumn("change", F.lit("recovered")))
+        recovered = materialize(recovered, "recovered")
+        before = old.select("incident_id", F.struct(*CONTENT).alias("_before"), F.col("condition").alias("_was"))
+        done_again = recovered.select("incident_id", F.lit("RECOVERED").alias("_now"))
+        corrected = (
+            every.join(before, "incident_id")
+            .join(done_again, "incident_id", "left")
+            .withColumn("condition", F.coalesce("_now", "condition"))
+            .filter(~F.struct(*CONTENT).eqNullSafe(F.col("_before")))
         )
-
-    def _apply(self, new: DataFrame, recovered: DataFrame) -> None:
-        """Add rows the table doesn't have; set the condition of rows that are still open."""
+        fresh_recovered = recovered.join(before.filter("_was = 'RECOVERED'"), "incident_id", "left_anti")
+        gone = old.join(every.select("incident_id"), "incident_id", "left_anti")
+        parts = {
+            "new": every.join(before, "incident_id", "left_anti"), "recovered": fresh_recovered,
+            "changed": corrected, "withdrawn": gone,
+        }
+        frames = [df.select(*every.columns, F.lit(change).alias("change")) for change, df in parts.items()]
+        return reduce(DataFrame.unionByName, frames)
+
+    def _apply(self, new: DataFrame, recovered: DataFrame, changed: DataFrame, withdrawn: DataFrame) -> None:
+        """Add rows the table doesn't have, correct and remove reopened ones; set the condition of rows that are still open."""
         table = tables.read_incidents(self.spark, self.table_path)
+        removed = None
         if table is not None:
             new = new.join(table.select("incident_id"), "incident_id", "left_anti")
-        if not is_empty(new):
-            tables.save(self.spark, self.table_path, new, stored_logs=self.stored_logs)
+            stands = table.filter("status = 'CLOSED'").select("incident_id", F.col("status").alias("_status"), F.col("condition").alias("_condition"))
+            changed = changed.join(table.select("incident_id"), "incident_id", "left_semi").join(stands, "incident_id", "left")
+            changed = changed.withColumns({"status": F.coalesce("_status", "status"), "condition": F.coalesce("_condition", "condition")})
+            new = new.unionByName(changed.select(*new.columns))
+            removed = materialize(table.select("incident_id").join(withdrawn.select("incident_id"), "incident_id", "left_semi"), "withdrawn")
+        new = materialize(new, "rows")
+        if not is_empty(new) or (removed is not None and not is_empty(removed)):
+            tables.save(self.spark, self.table_path, new, stored_logs=self.stored_logs, removed=removed)
         table = tables.read_incidents(self.spark, self.table_path)
         if table is None:
             return
-        changed = (
+        back = (
             table.join(recovered.select("incident_id"), "incident_id", "left_semi")
             .filter(tables._is_recoverable())
             .withColumn("condition", F.lit("RECOVERED"))
         )
-        changed = materialize(changed, "recovered")
-        if not is_empty(changed):
-            tables.save(self.spark, self.table_path, changed, stored_logs=self.stored_logs)
+        back = materialize(back, "recovered")
+        if not is_empty(back):
+            tables.save(self.spark, self.table_path, back, stored_logs=self.stored_logs)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start the query on a stream of raw lines, e.g. ``availableNow=True``."""
@@ -219,12 +336,12 @@ class LiveJob:
             self.settle(pending.limit(0), last_batch + 1, everything=True)
 
     def late_rows(self) -> DataFrame | None:
-        """Messages that came after their window was settled."""
+        """Messages that came after their window was settled and reopened nothing."""
         return tables.read_table(self.spark, f"{self.state_path}/late")
 
     def overflow_rows(self) -> DataFrame | None:
         """Messages beyond ``max_size`` of their window."""
-        return tables.read_table(self.spark, f"{self.state_path}/overflow")
+        return self._current("overflow")
 
     def feed(self) -> DataFrame | None:
         return tables.read_table(self.spark, f"{self.state_path}/feed")

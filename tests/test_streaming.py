@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,55 @@ def test_overflow_and_stored_logs(spark, job, tmp_path):
     dropped = job.overflow_rows()
     assert dropped.count() > 0 and kept + dropped.filter("not is_recovery").count() <= len(ROWS)
     assert dropped.select("domain", "window_start", "seq").distinct().count() == dropped.count()
+
+
+@pytest.mark.parametrize("window", ["anchored", "session"])
+def test_late_messages_reopen_their_windows(spark, job, window):
+    """Messages out of order over four micro-batches: the table equals the batch result, and the feed tells how it came to be."""
+    job.window, job.reopen_sec, job.window_sec = window, 10_000, 60
+    draw = random.Random(5)
+    hosts = ["hub", "mid-w", "end-w1", "gate", "gate-cpe"]
+    rows = [
+        (_line(draw.choice(hosts), draw.choice([DOWN, DOWN, UP]), 0, n)["raw"], "10.0.0.1", at(draw.randrange(0, 1500) if n < 40 else 1500 + n), n)
+        for n in range(44)
+    ]
+    rows.sort(key=lambda r: r[2])
+    place = [min(3, k * 4 // len(rows) + draw.choice([0, 0, 0, 1, 2])) for k in range(len(rows))]
+    batches = [spark.createDataFrame([r for r, p in zip(rows, place) if p == b], schema.RAW_LINES) for b in range(4)]
+    for number, lines in enumerate(batches):
+        job.process(lines, number)
+    before = sorted(map(str, job.feed().collect()))
+    job.process(batches[3], 3)  # replayed
+    assert sorted(map(str, job.feed().collect())) == before
+    job.drain(3)
+    expected = run_batch(
+        spark.createDataFrame(rows, schema.RAW_LINES), job._topology()[0], time_col="received_at", apply_recovery=True, window=window, window_sec=60
+    )
+    keep = ["domain", "window_start", "window_end", "emit_rank", "kind", "root_cause_node", "secondary_nodes", "raw_logs", "raw_log_count", "condition"]
+    got = tables.read_incidents(spark, job.table_path)
+    assert sorted(map(str, got.select(keep).collect())) == sorted(map(str, expected.select(keep).collect()))
+    assert got.select("incident_id").distinct().count() == got.count()
+    assert job.late_rows() is None or job.late_rows().count() == 0
+    ids = {kind: set() for kind in ("new", "recovered", "changed", "withdrawn")}
+    for r in job.feed().collect():
+        ids[r.type.split(".")[1]].add(r.incident_id)
+    assert ids["withdrawn"] and ids["changed"]
+    assert ids["new"] - ids["withdrawn"] == {r.incident_id for r in got.collect()}
+
+
+def test_reopening_ends_at_its_reach_and_keeps_closures(spark, job):
+    job.reopen_sec = 100
+    frame = lambda rows: spark.createDataFrame([(r["raw"], r["source_ip"], at(s), n) for n, (r, s) in enumerate(rows)], schema.RAW_LINES)
+    hub, end = ROWS[0], ROWS[2]
+    job.process(frame([(hub, 0), (hub, 1), (end, 500), (end, 900)]), 0)
+    table = tables.read_incidents(spark, job.table_path)
+    assert table.count() == 2
+    tables.save(spark, job.table_path, table.withColumn("status", F.lit("CLOSED")))
+    job.process(frame([(hub, 2), (end, 505)]).withColumn("seq", F.col("seq") + 10), 1)
+    assert [r.seq for r in job.late_rows().collect()] == [10]  # beyond the reach
+    by_root = {r.root_cause_node: r for r in tables.read_incidents(spark, job.table_path).collect()}
+    assert by_root["end-w1"].raw_log_count == 2 and by_root["hub"].raw_log_count == 2
+    assert {r.status for r in by_root.values()} == {"CLOSED"}
+    job.process(frame([(end, 2000)]).withColumn("seq", F.col("seq") + 20), 2)
+    job.process(frame([(end, 3000)]).withColumn("seq", F.col("seq") + 30), 3)
+    assert {r["batch"] for r in tables.read_table(spark, f"{job.state_path}/archive").select("batch").distinct().collect()} == {2, 3}
