@@ -362,12 +362,15 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # --- streams -------------------------------------------------------------------------------
 
 
-def _datagrams(spark, d, parts: int) -> str:
-    """Raw lines as JSON files in time order, as a collector leaves them."""
+def _datagrams(spark, d, parts: int, late: int = 0) -> str:
+    """Raw lines as JSON files in time order, as a collector leaves them; with ``late`` each line whose number is divisible by it
+    comes one file later, with the lines after it."""
     path = _folder(spark, "datagrams")
     lines = materialize(inputs.raw_lines(spark, d).select("raw", "source_ip", "received_at", "seq"), "lines")
     first, last = lines.agg(F.min(us("received_at")), F.max(us("received_at"))).first()
     place = F.floor((us("received_at") - first) * parts / (last - first + 1))
+    if late:
+        place = F.least(F.lit(parts - 1), place + (F.col("seq") % late == 0).cast("int"))
     for k in range(parts):  # one after another, as the stream takes files by their age
         lines.filter(place == k).coalesce(1).write.mode("append").option("timestampFormat", STAMP).json(path)
     return path
@@ -378,12 +381,12 @@ LIVE_SQL = """SELECT t.incident_id, t.root AS root_cause_node, t.kind, t.raw_log
        THEN 'RECOVERED' ELSE t.condition END AS condition FROM full_inc t"""
 
 
-def _live(spark, d, parts: int, **rules) -> live.LiveJob:
+def _live(spark, d, parts: int, late: int = 0, **rules) -> live.LiveJob:
     """The live job over the whole log, file by file, with a drain at the end."""
     base = _folder(spark, "live")
     T.save_version(topology(spark, d), f"{base}/topology", 1)
     job = live.LiveJob(spark, f"{base}/state", f"{base}/table", f"{base}/topology", window_sec=W_SEC, rules=RULES, **rules)
-    lines = stream_datagrams(spark, _datagrams(spark, d, parts), maxFilesPerTrigger="1", timestampFormat=STAMP)
+    lines = stream_datagrams(spark, _datagrams(spark, d, parts, late), maxFilesPerTrigger="1", timestampFormat=STAMP)
     query = job.start(lines, f"{base}/checkpoint", availableNow=True)
     query.awaitTermination()
     job.drain(query.lastProgress["batchId"])
@@ -398,6 +401,18 @@ def live_incidents(spark, d):
     return table.select("incident_id", "root_cause_node", "kind", "raw_log_count", "recurrence_count", F.size("raw_logs").cast("bigint").alias("logs"), "condition")
 
 
+@register("live_late", O.query(LIVE_SQL.replace("SELECT t.incident_id,", "SELECT t.domain, t.w AS window_us,").replace("t.recurrence_count, ", ""), *FULL, O.NUMBERED, O.LOGS))
+def live_late(spark, d):
+    """A fifth of the lines comes a file late and reopens settled windows; all but numbers and recurrence, which depend on the
+    order of arrival, equals the batch."""
+    job = _live(spark, d, 2, late=5, reopen_sec=10 * 365 * 86400)
+    table = I.read_incidents(spark, job.table_path)
+    return table.select(
+        "domain", us("window_start").alias("window_us"), "root_cause_node", "kind", "raw_log_count",
+        F.size("raw_logs").cast("bigint").alias("logs"), "condition",
+    )
+
+
 def _site_stream(spark, d) -> DataFrame:
     """Parsed messages as a stream, followed by two rows far in the future that close every window."""
     path = _folder(spark, "messages")
