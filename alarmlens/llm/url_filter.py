@@ -2,7 +2,8 @@
 
 Rules are a short list that travels in the plan. A host is looked up with all its parent domains, so a rule for a
 domain covers its subdomains without a join. URLs that a rule judges are the labelled rows that the
-trees learn from; suffix statistics are counted over all labelled rows.
+trees learn from; suffix statistics are counted over all labelled rows. A row the trees learn from sees the statistics
+without its own fold, so that its label is not among its features.
 """
 from __future__ import annotations
 
@@ -118,23 +119,76 @@ def lexical(pages: DataFrame) -> DataFrame:
     return pages.withColumns({k: v.cast("double") for k, v in features.items()})
 
 
-def _with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Share of labelled URLs and smoothed rate of blocked ones for the last label and the last two labels of the host."""
-    total = labelled.count()
+#: Parts of the labelled rows for statistics that leave a row's own label out; equal URLs share a part.
+FOLDS = 5
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
+def _with_suffixes(rows: DataFrame, labelled: DataFrame, *, own_fold_out: bool = False) -> DataFrame:
+    """Share of labelled URLs and smoothed rate of blocked ones for the last label and the last two labels of the host.
+
+    ``own_fold_out``: the rows are labelled ones themselves; each gets the statistics of the other folds.
+    """
+    fold = _fold(F.col("url"))
+    sizes = {r["fold"]: r["n"] for r in labelled.groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = F.lit(max(sum(sizes.values()), 1))
+    if own_fold_out:
+        rows = rows.withColumn("fold", fold)
+        others = F.array(*[F.lit(max(sum(sizes.values()) - sizes.get(k, 0), 1)) for k in range(FOLDS)])
+        total = F.get(others, F.col("fold"))
     for name, depth in (("suffix", 1), ("domain", 2)):
         key = F.substring_index("host", ".", -depth)
-        counts = labelled.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+        parts = labelled.groupBy(key.alias(name), fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+        counts, on = parts.groupBy(name).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), [name]
+        if own_fold_out:
+            parts, on = materialize(parts, f"{name}_folds"), [name, "fold"]
+            every = parts.groupBy(name).agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+            counts = parts.join(every, name).select(*on, (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
         stats = materialize(
-            counts.select(
-                name,
-                (F.col("n") / max(total, 1)).alias(f"{name}_share"),
-                ((F.col("blocked") + 1) / (F.col("n") + 2)).alias(f"{name}_rate"),
-            ),
+            counts.select(*on, (F.col("n") / total).alias(f"{name}_share"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias(f"{name}_rate")),
             f"{name}_stats",
         )
-        rows = rows.withColumn(name, key).join(stats, name, "left").drop(name)
+        rows = rows.withColumn(name, key).join(stats, on, "left").drop(name)
         rows = rows.fillna({f"{name}_share": 0.0, f"{name}_rate": 0.5})
-    return rows
+    return rows.drop("fold")
+
+
+def _features() -> VectorAssembler:
+    return VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
+
+
+def _fit(labelled: DataFrame, max_training: int, trees: int, depth: int):
+    sample = bounded_sample(labelled, max_training, "id", "url")
+    training = materialize(_with_suffixes(lexical(sample), labelled, own_fold_out=True), "training")
+    return GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(_features().transform(training))
+
+
+def _labelled(pages: DataFrame, id_col: str, url_col: str, rules: tuple[UrlRule, ...]) -> tuple[DataFrame, DataFrame]:
+    """All rows with their rule (``fit``), and those that a rule judges with ``label`` (1: block)."""
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
+    base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    judged = materialize(base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), "judged")
+    return judged, judged.filter("fit is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("int"))
+
+
+def held_out_accuracy(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES,
+    max_training: int = 100_000, trees: int = 20, depth: int = 4,
+) -> DataFrame:
+    """Per suffix: rule-judged URLs of one fold, how many of them are blocked, and how many the trees judge alike that learn from
+    the other folds. Rules must judge both ways in these."""
+    _, labelled = _labelled(pages, id_col, url_col, rules)
+    own = _fold(F.col("url")) == 0
+    rest = labelled.filter(~own)
+    model = _fit(rest, max_training, trees, depth)
+    scored = model.transform(_features().transform(_with_suffixes(lexical(labelled.filter(own)), rest)))
+    right = (vector_to_array("probability")[1] >= 0.5).cast("int") == F.col("label")
+    return scored.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(
+        F.count(F.lit(1)).alias("urls"), F.sum("label").alias("blocked"), F.count_if(right).alias("right")
+    )
 
 
 def judge(
@@ -152,21 +206,14 @@ def judge(
     ``max_training`` URLs at most that a rule judges. Where rules judge none, the verdict is allow; where all have one
     verdict, it is that one. Repeated rows give repeated rows.
     """
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    fit = rule_of(F.col("host"), F.col("path"), rules)
-    judged = materialize(base.withColumn("fit", fit), "judged")
-    labelled = judged.filter("fit is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("int"))
+    judged, labelled = _labelled(pages, id_col, url_col, rules)
     classes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rest = judged.filter("fit is null")
     if len(classes) < 2:
         scored = rest.withColumn("score", F.lit(float(next(iter(classes), 0))))
     else:
-        features = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
-        sample = bounded_sample(labelled, max_training, "id", "url")
-        training = materialize(_with_suffixes(lexical(sample), labelled), "training")
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(features.transform(training))
-        scored = model.transform(features.transform(_with_suffixes(lexical(rest), labelled)))
+        model = _fit(labelled, max_training, trees, depth)
+        scored = model.transform(_features().transform(_with_suffixes(lexical(rest), labelled)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     scored = scored.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("verdict"), "score")
     ruled = judged.filter("fit is not null").select("id", "host", "path", "fit.rule", "fit.verdict", F.lit(None).cast("double").alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alarmlens.llm import language_id, toxicity
 from alarmlens.llm.quality import FEATURES, quality_scores, statistics
 from alarmlens.llm.toxicity import toxicity_scores
-from alarmlens.llm.url_filter import RULES, host_of, judge, path_of, rule_of
+from alarmlens.llm.url_filter import FOLDS, RULES, _with_suffixes, held_out_accuracy, host_of, judge, path_of, rule_of
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -154,6 +154,29 @@ def test_trees_judge_what_no_rule_fits(spark):
     assert judge(pages.limit(0)).count() == 0
 
 
+def test_suffix_statistics_of_training_rows_leave_their_fold_out(spark):
+    """Against a plain count; equal URLs (repeated rows) share a fold, a null URL has an empty host."""
+    rng = random.Random(4)
+    urls = [f"http://h{rng.randrange(9)}.{rng.choice(['net', 'org', 'xyz'])}/{rng.randrange(40)}" for _ in range(150)] + [None, None]
+    rows = [(k, u, (u or "").partition("://")[2].partition("/")[0], rng.randrange(2)) for k, u in enumerate(urls)]
+    labelled = spark.createDataFrame(rows, "id long, url string, host string, label int")
+    fold = {r["id"]: r["f"] for r in labelled.select("id", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("f")).collect()}
+    got = _with_suffixes(labelled, labelled, own_fold_out=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        others = [o for o in rows if fold[o[0]] != fold[r["id"]]]
+        for name, depth in (("suffix", 1), ("domain", 2)):
+            near = [o[3] for o in others if o[2].split(".")[-depth:] == r["host"].split(".")[-depth:]]
+            assert abs(r[f"{name}_share"] - len(near) / len(others)) < 1e-12
+            assert abs(r[f"{name}_rate"] - (sum(near) + 1) / (len(near) + 2)) < 1e-12
+
+
+def test_held_out_urls_are_judged_like_their_rules(spark):
+    urls = [f"http://h{k % 7}.net/x/{k}" for k in range(200)] + [f"https://w{k % 5}.org/fr/{k}" for k in range(200)]
+    found = held_out_accuracy(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r["suffix"] for r in found} == {"net", "org"} and all(r["right"] == r["urls"] for r in found)
+
+
 def test_every_label_counts_for_the_lexicon(spark, docs_of, monkeypatch):
     """Each word that three learnable texts of label 1 hold becomes a voter, in a table where label 1 is rare."""
     common = [a + b + "ne" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou"]
