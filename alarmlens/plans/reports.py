@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alarmlens.functions import texts
 from alarmlens.operators.incidents import SIMILAR_ROWS, similar_by_root, upsert
 from alarmlens.operators.similar import nearest
+from alarmlens.runtime import materialize
 
 # Cache lifetime and number of similar cases in a prompt.
 CACHE_TTL_DAYS = 7
@@ -60,15 +61,18 @@ def corpus_put(corpus: DataFrame, incidents: DataFrame, vectors: DataFrame | Non
 
 
 def similar_documents(vectors: DataFrame, corpus: DataFrame, n: int = PROMPT_CASES) -> DataFrame:
-    """Documents of the ``n`` nearest corpus incidents, nearest first, as an array."""
+    """Documents of the ``n`` nearest corpus incidents, nearest first, as an array.
+
+    Incidents with the same nearest ones share one array: documents are joined once per distinct list of identifiers.
+    """
     hits = nearest(vectors, corpus, n, id_col="incident_id")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))).alias("listed")
+    lists = materialize(hits.groupBy(F.col("query_id").alias("incident_id")).agg(listed), "nearest_lists")
     docs = corpus.select(F.col("incident_id").alias("neighbor_id"), "document")
     picked = F.array_sort(F.collect_list(F.struct("rank", "document")))
-    return (
-        hits.join(docs, "neighbor_id")
-        .groupBy(F.col("query_id").alias("incident_id"))
-        .agg(F.transform(picked, lambda x: x.document).alias("similar_docs"))
-    )
+    distinct = lists.select("listed").distinct().select("listed", F.inline("listed"))
+    texts_of = distinct.join(docs, "neighbor_id").groupBy("listed").agg(F.transform(picked, lambda x: x.document).alias("similar_docs"))
+    return lists.join(texts_of, "listed").select("incident_id", "similar_docs")
 
 
 def report_worklist(
