@@ -362,8 +362,8 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # --- streams -------------------------------------------------------------------------------
 
 
-def _datagrams(spark, d, parts: int, late: int = 0) -> str:
-    """Raw lines as JSON files in time order, as a collector leaves them; with ``late`` each line whose number is divisible by it
+def _datagrams(spark, d, parts: int, late: int = 0) -> tuple[str, int]:
+    """Raw lines as JSON files in time order, as a collector leaves them, and the number of files that a part has; with ``late`` each line whose number is divisible by it
     comes one file later, with the lines after it."""
     path = _folder(spark, "datagrams")
     lines = materialize(inputs.raw_lines(spark, d).select("raw", "source_ip", "received_at", "seq"), "lines")
@@ -371,9 +371,20 @@ def _datagrams(spark, d, parts: int, late: int = 0) -> str:
     place = F.floor((us("received_at") - first) * parts / (last - first + 1))
     if late:
         place = F.least(F.lit(parts - 1), place + (F.col("seq") % late == 0).cast("int"))
+    files = _file_count(lines.groupBy(place.alias("k")).count())
     for k in range(parts):  # one after another, as the stream takes files by their age
-        lines.filter(place == k).coalesce(1).write.mode("append").option("timestampFormat", STAMP).json(path)
-    return path
+        part = lines.filter(place == k)
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").option("timestampFormat", STAMP).json(path)
+    return path, files
+
+
+FILE_ROWS = 500_000
+
+
+def _file_count(counts: DataFrame) -> int:
+    """Files of one part of a stream, so that none has many more than ``FILE_ROWS`` rows."""
+    return max(1, -(-(counts.agg(F.max("count")).first()[0] or 0) // FILE_ROWS))
 
 
 LIVE_SQL = """SELECT t.incident_id, t.root AS root_cause_node, t.kind, t.raw_log_count, t.recurrence_count, len(t.raw_logs) AS logs,
@@ -386,7 +397,8 @@ def _live(spark, d, parts: int, late: int = 0, **rules) -> live.LiveJob:
     base = _folder(spark, "live")
     T.save_version(topology(spark, d), f"{base}/topology", 1)
     job = live.LiveJob(spark, f"{base}/state", f"{base}/table", f"{base}/topology", window_sec=W_SEC, rules=RULES, **rules)
-    lines = stream_datagrams(spark, _datagrams(spark, d, parts, late), maxFilesPerTrigger="1", timestampFormat=STAMP)
+    path, files = _datagrams(spark, d, parts, late)
+    lines = stream_datagrams(spark, path, maxFilesPerTrigger=str(files), timestampFormat=STAMP)
     query = job.start(lines, f"{base}/checkpoint", availableNow=True)
     query.awaitTermination()
     job.drain(query.lastProgress["batchId"])
@@ -414,10 +426,21 @@ def live_late(spark, d):
 
 
 def _site_stream(spark, d) -> DataFrame:
-    """Parsed messages as a stream, followed by two rows far in the future that close every window."""
+    """Parsed messages as a stream of files of bounded size, followed by two rows far in the future that close every window."""
     path = _folder(spark, "messages")
     keep = ["domain", "received_at", "hostname"]
-    messages(spark, d).select(*keep).repartition(1).write.parquet(f"{path}/part=0")
+    rows = messages(spark, d).select(*keep)
+    first, last, n = rows.agg(F.min(us("received_at")), F.max(us("received_at")), F.count("*")).first()
+    parts = max(1, -(-n // FILE_ROWS))
+    if parts > 1:  # a batch holds about FILE_ROWS rows; in time order, so that none is late whatever the span of the log
+        staged = _folder(spark, "staged")
+        at = F.coalesce(F.floor((us("received_at") - first) * parts / (last - first + 1)), F.lit(0)).alias("place")
+        rows.select(*keep, at).repartition("place").write.partitionBy("place").parquet(staged)
+        for k in range(parts):
+            rows = spark.read.parquet(staged).filter(F.col("place") == k).select(*keep)
+            rows.repartition(1).write.mode("append").parquet(f"{path}/part=0")
+    else:
+        rows.repartition(1).write.parquet(f"{path}/part=0")
     for k in (1, 2):
         late = F.lit(f"2100-01-0{k} 00:00:00").cast("timestamp")
         mark = spark.range(1).select(F.lit("closing").alias("domain"), late.alias("received_at"), F.lit("none").alias("hostname"))
@@ -453,7 +476,8 @@ def tumbling_stream(spark, d):
 @register("received_count", "SELECT count(*) AS received FROM events")
 def received_count(spark, d):
     """The counter in the progress of a running stream."""
-    lines = live.count_received(stream_datagrams(spark, _datagrams(spark, d, 3), maxFilesPerTrigger="1", timestampFormat=STAMP))
+    path, files = _datagrams(spark, d, 3)
+    lines = live.count_received(stream_datagrams(spark, path, maxFilesPerTrigger=str(files), timestampFormat=STAMP))
     query = lines.writeStream.format("noop").option("checkpointLocation", _folder(spark, "stream_state")).trigger(availableNow=True).start()
     query.awaitTermination()
     counts = [p["observedMetrics"]["intake"]["received"] for p in query.recentProgress if "intake" in p["observedMetrics"]]
