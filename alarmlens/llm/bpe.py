@@ -25,9 +25,10 @@ from alarmlens.llm.tables import id_and_text, in_slices
 # The splitting pattern that belongs to the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-REMEMBERED = 80_000  # pieces of one generation; a worker keeps two
+REMEMBERED = 200_000  # pieces of one generation; a worker keeps two
 LONG_PIECE = 64
 _ID_BITS = 20
+_ID_MASK = (1 << _ID_BITS) - 1
 _NEVER = 1 << 62
 
 
@@ -50,6 +51,7 @@ class Codec:
         self.bytes_of: dict[int, bytes] = {i: bytes(symbols[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
+        self.decimal_of = {i: str(i).encode() for i in self.bytes_of}
         self.byte_id = [0] * 256
         for i, raw in self.bytes_of.items():
             if len(raw) == 1:
@@ -63,6 +65,11 @@ class Codec:
             raw = bytes(symbols[c] for c in token)
             for a, b in zip(raw, raw[1:]):
                 self.joined[a << 8 | b] = 1
+        # Rank and result of two bytes side by side; -1 where a cut is certain.
+        self.byte_pairs = [
+            self.merges.get(self.byte_id[at >> 8] << _ID_BITS | self.byte_id[at & 255], _NEVER) if self.joined[at] else -1
+            for at in range(1 << 16)
+        ]
         self.pattern = regex.compile(PIECES)
         ordered = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
@@ -84,17 +91,21 @@ class Codec:
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one fragment: the leftmost pair of lowest rank is merged until no pair has a rank."""
-        ids = [self.byte_id[b] for b in raw]
+        byte_id = self.byte_id
+        ids = [byte_id[b] for b in raw]
         if len(ids) > LONG_PIECE:
             return self._merge_long(ids)
+        pairs = self.byte_pairs
+        return self._merge_short(ids, [pairs[a << 8 | b] for a, b in zip(raw, raw[1:])])
+
+    def _merge_short(self, ids: list[int], ranks: list[int]) -> list[int]:
         get = self.merges.get
-        ranks = [get(a << _ID_BITS | b, _NEVER) for a, b in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
             if best == _NEVER:
                 break
             i = ranks.index(best)
-            new = best & (1 << _ID_BITS) - 1
+            new = best & _ID_MASK
             ids[i] = new
             del ids[i + 1], ranks[i]
             if i:
@@ -103,6 +114,22 @@ class Codec:
                 ranks[i] = get(new << _ID_BITS | ids[i + 1], _NEVER)
         return ids
 
+    def piece_ids(self, raw: bytes) -> list[int]:
+        """Ids of one piece: its fragments are merged one by one. A short piece is read once for cuts and ranks."""
+        if len(raw) > LONG_PIECE:
+            return [i for fragment in self.fragments(raw) for i in self.merge(fragment)]
+        byte_id, pairs = self.byte_id, self.byte_pairs
+        ids = [byte_id[b] for b in raw]
+        ranks = [pairs[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        if -1 not in ranks:
+            return self._merge_short(ids, ranks)
+        out, start = [], 0
+        while -1 in ranks[start:]:
+            cut = ranks.index(-1, start)
+            out += self._merge_short(ids[start : cut + 1], ranks[start:cut])
+            start = cut + 1
+        return out + self._merge_short(ids[start:], ranks[start:])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, so that a fragment of any length takes n log n steps."""
         after = [*range(1, len(ids)), -1]
@@ -120,7 +147,7 @@ class Codec:
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
-            ids[i] = merged & (1 << _ID_BITS) - 1
+            ids[i] = merged & _ID_MASK
             ids[j] = -1
             after[i] = after[j]
             after[j] = -1
@@ -133,8 +160,9 @@ class Codec:
     def _learn(self, piece: str) -> tuple[int, bytes, bytes]:
         known = self.pieces.get(piece) or self.older.get(piece)
         if not known:
-            ids = [i for fragment in self.fragments(piece.encode("utf-8")) for i in self.merge(fragment)]
-            known = (len(ids), ",".join(map(str, ids)).encode(), b"".join(self.bytes_of[i] for i in ids))
+            ids = self.piece_ids(piece.encode("utf-8"))
+            bytes_of, decimal = self.bytes_of, self.decimal_of
+            known = (len(ids), b",".join([decimal[i] for i in ids]), b"".join([bytes_of[i] for i in ids]))
         if len(piece) <= LONG_PIECE:
             if len(self.pieces) >= REMEMBERED:  # pieces in use move on to the new generation
                 self.older, self.pieces = self.pieces, {}

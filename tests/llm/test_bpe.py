@@ -49,3 +49,18 @@ def test_documents(docs_of, odd_rows, library):
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert encode_documents(docs_of([]), PATH).count() == 0
+
+
+def test_pieces_are_read_once_and_remembered(monkeypatch):
+    """Cuts and first ranks of a short piece come from one pass; 180,000 pieces met twice are merged once."""
+    rng = random.Random(6)
+    coder = Codec(PATH)
+    for _ in range(2000):
+        raw = bytes(rng.choices(b"aeinrst,!\xc3\xa9\xe3\x81\x00Z", k=rng.randrange(1, 90)))
+        assert coder.piece_ids(raw) == [i for fragment in coder.fragments(raw) for i in coder.merge(fragment)]
+    merged = []
+    monkeypatch.setattr(coder, "piece_ids", lambda raw: merged.append(raw) or [0])
+    text = " ".join("".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(180_000))
+    for _ in range(2):
+        assert sum(1 for _ in coder.known_pieces(text)) == 180_000
+    assert len(merged) <= 180_001
