@@ -1,8 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlens.operators import windows
 from alarmlens.operators.dense_windows import SLICE_US
 from alarmlens.operators.windows import (
     Burst,
@@ -154,3 +158,16 @@ def test_burst(spark, ages, count, span):
     expected = count > 0 and span > 0 and sum(a <= span for a in ages) >= count
     frame = _frame(spark, [100 - a for a in ages])
     assert burst_detected(frame, F.lit(at(100)), burst).first().burst is expected
+
+
+def test_memory_of_a_full_chunk():
+    """A full chunk is sorted without a copy of its frame and is small enough for several at once."""
+    rng = np.random.default_rng(1)
+    n = windows.CHUNK_ROWS
+    frame = pd.DataFrame({"domain": ["default"] * n, "run": 1, "part": 1, "n": 1, "us": rng.permutation(n) * 72_000, "ahead": False, "start": 0})
+    tracemalloc.start()
+    us, ends = windows._prepared(frame, 600_000_000, Burst())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(us) == n and (np.diff(us) > 0).all() and (ends > us).all()
+    assert peak < 16_000_000
