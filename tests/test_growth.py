@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from alarmlens.operators import closure
 from alarmlens.plans import infer as INF
+from alarmlens.runtime import materialize
+from tests.helpers import star, topology, windowed
 from workload import registry, stored
 
 DAY = 86400
@@ -92,3 +94,26 @@ def test_batches_of_the_stream_queries_are_bounded(spark, log, monkeypatch):
     assert sorted(map(tuple, stored.tumbling_stream(spark, log).collect())) == whole and len(whole) == 600
     assert len(glob.glob(f"{made[0]}/part=0/part-*")) == 6
     assert sorted(map(tuple, stored.session_stream(spark, log).collect())) == sessions
+
+
+def _moves(df) -> int:
+    """Shuffles by key in the plan of ``df``."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_incidents_move_once_and_logs_not_for_their_join(spark, monkeypatch):
+    """Hosts move once to be folded and placed in their window, and logs are grouped by the key that incidents are joined on."""
+    rows = [(f"Leaf{i % 3 + 1}", f"line {i}", 3, i) for i in range(9)]
+    messages = materialize(windowed(spark, rows))
+    assigned = materialize(INF.assign_hosts(messages, star(spark, 3)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = INF.build_incidents(assigned)
+        assert _moves(found) == 1
+        stored_found = materialize(found)
+        logs = INF.stored_logs(messages, assigned)
+        assert _moves(stored_found.join(logs, INF.LOG_KEY)) == _moves(logs) + 1
+        assert sum(len(r.raw_logs) for r in stored_found.join(logs, INF.LOG_KEY).collect()) == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
