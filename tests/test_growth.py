@@ -117,3 +117,22 @@ def test_incidents_move_once_and_logs_not_for_their_join(spark, monkeypatch):
         assert sum(len(r.raw_logs) for r in stored_found.join(logs, INF.LOG_KEY).collect()) == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("mask", [INF.PLACE_MASK, 0])
+def test_simple_roots_moves_pairs_as_one_number(spark, monkeypatch, mask):
+    """Only places where an ancestor may log are stored, and names decide: equal hashes (mask 0) change no row."""
+    stored_frames = {}
+
+    def kept(df, name="step"):
+        stored_frames[name] = materialize(df, name)
+        return stored_frames[name]
+
+    monkeypatch.setattr(INF, "materialize", kept)
+    monkeypatch.setattr(INF, "PLACE_MASK", mask)
+    nodes = dict.fromkeys([f"n{i}" for i in range(1, 16)], "leaf")
+    topo = topology(spark, nodes, [(f"n{i // 2}", f"n{i}") for i in range(2, 16)])
+    rows = [(h, f"{h} {w}", 3, i, w) for w, hosts in {"a": ["n8", "n9", "n3"], "b": ["n2", "n8", "n5", "n15"]}.items() for i, h in enumerate(hosts)]
+    got = {(x.domain, x.root_cause_node): x.secondary_nodes for x in INF.simple_roots(windowed(spark, rows), topo).collect()}
+    assert got == {("a", "n8"): [], ("a", "n9"): [], ("a", "n3"): [], ("b", "n2"): ["n5", "n8"], ("b", "n15"): []}
+    assert stored_frames["met"].columns == ["place"] and stored_frames["met"].count() == 1
