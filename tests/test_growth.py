@@ -136,3 +136,30 @@ def test_simple_roots_moves_pairs_as_one_number(spark, monkeypatch, mask):
     got = {(x.domain, x.root_cause_node): x.secondary_nodes for x in INF.simple_roots(windowed(spark, rows), topo).collect()}
     assert got == {("a", "n8"): [], ("a", "n9"): [], ("a", "n3"): [], ("b", "n2"): ["n5", "n8"], ("b", "n15"): []}
     assert stored_frames["met"].columns == ["place"] and stored_frames["met"].count() == 1
+
+
+def test_only_pairs_with_active_or_wide_ancestors_are_stored(spark, monkeypatch):
+    """Ten chains of 20 silent nodes, of which five windows see a leaf each: no table of a run holds all ancestors of its hosts."""
+    stored_rows = {}
+
+    def counted(df, name="step"):
+        out = materialize(df, name)
+        stored_rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(INF, "materialize", counted)
+    monkeypatch.setattr(closure, "materialize", counted)
+    edges = [(f"c{k}-{i}", f"c{k}-{i + 1}") for k in range(10) for i in range(20)]
+    topo = topology(spark, dict.fromkeys([n for e in edges for n in e], "leaf"), edges)
+    physical = materialize(closure.physical_closure(topo.nodes, topo.edges))
+    stored_rows.clear()
+    rows = [(f"c{k}-20", "line", 3, k, f"w{w}") for w in range(5) for k in range(10)]
+    got = INF.assign_hosts(windowed(spark, rows), topo, physical=physical).collect()
+    assert len(got) == 50 and {(r.kind_no, r.root_cause_node == r.hostname) for r in got} == {(INF.REGULAR, True)}
+    stored_rows.pop("sized")  # depends on the topology alone
+    assert max(stored_rows.values()) == 50
+
+    few = [(f"c{k}-{i}", "line", 3, k, "w") for k in range(2) for i in (19, 20)]
+    hosts = INF.host_stats(windowed(spark, few))
+    wide = INF._wide_ancestors(hosts, physical, 4.5)  # 18 hosts are needed: nodes 0 to 2 of a chain have as many below them
+    assert {r.ancestor for r in wide.collect()} == {f"c{k}-{i}" for k in range(2) for i in range(3)}
